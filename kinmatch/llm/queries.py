@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import line_dedup, mixing, packing, token_files, toxicity, url_rules
+from kinmatch.llm import line_dedup, mixing, near_dedup, packing, token_files, toxicity, url_rules
 from kinmatch.llm.encoding import default_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write_token_files(docs, default_tokenizer(), token_files.token_folder(spark), end_id=0)
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(docs).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_files, op4_url_rules, op5_packing, op6_line_dedup, op8_toxicity, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_dedup, op3_token_files, op4_url_rules, op5_packing, op6_line_dedup, op8_toxicity, op10_mixing)}
 
 WORDS = "|".join(url_rules.BLOCKED_WORDS)
 
