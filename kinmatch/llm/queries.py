@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import line_dedup, mixing, near_dedup, packing, token_files, toxicity, url_rules
+from kinmatch.llm import line_dedup, mixing, near_dedup, packing, suffix_dedup, token_files, toxicity, url_rules
 from kinmatch.llm.encoding import default_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(toxicity.training_rows(docs, labels))
@@ -54,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(docs).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_dedup, op3_token_files, op4_url_rules, op5_packing, op6_line_dedup, op8_toxicity, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_dedup, op3_token_files, op4_url_rules, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_toxicity, op10_mixing)}
 
 WORDS = "|".join(url_rules.BLOCKED_WORDS)
 
