@@ -34,3 +34,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
         edges = cut(_small_star(_large_star(edges)))
+
+
+def by_id(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """For tables whose ids repeat: rows (key, component, more) of nodes that aren't ids.
+
+    Rows of one id are linked, and a component is named by its smallest id; a row without an id has none. Returns key, more, component_id.
+    """
+    rows = cut(rows.select(key, *more, F.col("component").alias("_node")))
+    named = rows.where(F.col(key).isNotNull())
+    first = named.groupBy(key).agg(F.min("_node").alias("a"))
+    joined = components(named.join(first, key).select("a", F.col("_node").alias("b")))
+    topped = rows.join(joined.select(F.col("node").alias("_node"), "component"), "_node", "left").withColumn("_top", F.coalesce("component", "_node"))
+    least = topped.where(F.col(key).isNotNull()).groupBy("_top").agg(F.min(key).alias("component_id"))
+    return topped.join(least, "_top", "left").select(key, *more, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))

@@ -25,8 +25,8 @@ from pyspark.sql.window import Window as W
 from kinmatch.llm.common import WORD, cut, with_identity
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Rows of one hash bucket and slots of one run, and cells of the grid that finds a point's source.
-BUCKET_ROWS, RUN_SLOTS, CELLS = 20_000, 1 << 16, 4096
+#: Rows of one hash bucket (more, once there are as many buckets as may be), slots of one run, and cells of the grid that finds a point's source.
+BUCKET_ROWS, MOST_BUCKETS, RUN_SLOTS, CELLS = 500, 1 << 16, 1 << 16, 4096
 MOST_EPOCHS = 3
 
 
@@ -65,7 +65,7 @@ def source_targets(sized: DataFrame, block_words: int) -> DataFrame:
 
 def placed(sized: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     """sized with source_no and pos, the words of its source before it in shuffled order."""
-    buckets = max(1, rows // BUCKET_ROWS)
+    buckets = min(MOST_BUCKETS, max(1, rows // BUCKET_ROWS))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("long")
     # every source's rows meet its one row of the (bounded) source table by a null-safe equi-join
     named = sized.join(sources.select("source_no", F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("bucket", bucket)
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, block_words: int = 8192, seed: int = 1) -> tuple[DataFr
     placed: doc_id, source, size, source_no, source_size, target, pos and the row's identity.
     pieces: source_no, pos, slot, epoch, first_word, n_words: in slot order the mix's words.
     """
-    known, _ = with_identity(docs), None
+    known = with_identity(docs)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = cut(known.select("_k", "_v", "doc_id", "source", word_count().alias("size"), key.alias("key")))
     sources = cut(source_targets(sized, block_words))

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinmatch.llm.common import binary_column, cut, ragged, slices
-from kinmatch.llm.components import components
+from kinmatch.llm.common import cut, slices
+from kinmatch.llm.components import by_id, components
 
 SHINGLE = 5
 CHUNKS, CHUNK = 9, 5
@@ -267,22 +267,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signed.join(member, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "node")).otherwise(F.col("node")))
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     if odd:
-        out = _by_doc(out)
+        out = by_id(out.select("doc_id", "n", F.col("component_id").alias("component")), "doc_id", "n")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def _by_doc(out: DataFrame) -> DataFrame:
-    """Where doc_ids repeat: nodes of one doc_id are linked, and components are named by their smallest doc_id."""
-    rows = cut(out.select("doc_id", "n", F.col("component_id").alias("node")))
-    named = rows.where("doc_id is not null")
-    first = named.groupBy("doc_id").agg(F.min("node").alias("a"))
-    joined = components(named.join(first, "doc_id").select("a", F.col("node").alias("b")))
-    with_top = rows.join(joined, "node", "left").withColumn("top", F.coalesce("component", "node"))
-    least = with_top.where("doc_id is not null").groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    return with_top.join(least, "top", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).select("doc_id", "n", "component_id")
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the documents that reach a smaller doc_id. Rows whose doc_id repeats stay or go together."""
     known = near_duplicates(docs.select("doc_id", "text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import line_dedup, mixing, near_dedup, packing, suffix_dedup, token_files, toxicity, url_rules
+from kinmatch.llm import ann, cover_tree, line_dedup, mixing, near_dedup, packing, suffix_dedup, token_files, toxicity, url_rules
 from kinmatch.llm.encoding import default_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,12 +59,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.is_held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.taken_words(docs).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_near_dedup, op3_token_files, op4_url_rules, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_toxicity, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann, op2_near_dedup, op3_token_files, op4_url_rules, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_toxicity, op9_cover_tree, op10_mixing)}
 
 WORDS = "|".join(url_rules.BLOCKED_WORDS)
 
