@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmatch.llm import line_dedup, mixing, packing, toxicity
+from kinmatch.llm import line_dedup, mixing, near_dedup, packing, toxicity
 from kinmatch.llm.common import written
 from kinmatch.llm.encoding import default_tokenizer
 
@@ -25,6 +25,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each group of near duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them, up to three times each."""
     return mixing.mixed_documents(docs)
@@ -35,7 +40,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, default_tokenizer())
 
 
-STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: The toxicity and packing stages can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
