@@ -14,6 +14,10 @@ from kinmatch.llm.common import ragged
 #: Byte-level alphabet: these byte ranges stand for themselves, the rest follow from code point 256 on.
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
 
+#: Kinds of bytes. An apostrophe is OTHER, as it may begin a contraction.
+OTHER, BLANK, LETTER, POINT, HIGH = range(5)
+KIND = np.array([HIGH if b > 127 else BLANK if b == 32 or 9 <= b <= 13 else LETTER if chr(b).isalpha() else POINT if 32 < b < 127 and not chr(b).isalnum() and b != 39 else OTHER for b in range(256)], np.uint8)
+
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -23,7 +27,7 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def encoder(path: str, cache_words: int = 300_000) -> "Encoder":
+def encoder(path: str, cache_words: int = 500_000) -> "Encoder":
     """One encoder for each worker process."""
     key = (path, cache_words)
     if key not in _encoders:
@@ -34,11 +38,12 @@ def encoder(path: str, cache_words: int = 300_000) -> "Encoder":
 class Encoder:
     """Ids exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, special strings being ordinary text.
 
-    A byte-level pre-tokenizer always starts a piece at a single space between two other characters, so text is cut there,
-    and the ids of a piece don't depend on its neighbours. Tokenizers of another kind encode whole texts.
+    A byte-level pre-tokenizer always starts a piece at a single space between two other characters, between an ASCII letter and
+    ASCII punctuation, and around a single line feed, so text is cut there, and the ids of a piece don't depend on its neighbours.
+    Tokenizers of another kind encode whole texts.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,12 +81,16 @@ class Encoder:
         if not self.by_word:
             got = [e.ids for e in self.whole.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)]
             return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
-        blank, high = (data == 32) | ((data >= 9) & (data <= 13)), data >= 128
+        kind = KIND[data]
         starts = data == 32
-        starts[1:] &= ~blank[:-1]
-        starts[:-1] &= ~blank[1:]
-        starts[1:-1] &= ~(high[:-2] & high[2:])  # either may belong to white space beyond ASCII
-        starts[-1] = False
+        before, own, after = kind[:-2], kind[1:-1], kind[2:]
+        starts[1:-1] &= (before != BLANK) & (after != BLANK) & ((before < HIGH) | (after < HIGH))  # two beyond ASCII may both be white space
+        starts[:1] = starts[-1:] = False
+        # a letter next to punctuation (an apostrophe may belong to a contraction), and a single line feed
+        starts[1:] |= ((kind[:-1] == LETTER) & (kind[1:] == POINT)) | ((kind[:-1] == POINT) & (kind[1:] == LETTER))
+        line = np.flatnonzero((data[1:-1] == 10) & (before != BLANK) & (before < HIGH) & (after != BLANK) & (after < HIGH)) + 1
+        starts[line] = True
+        starts[line + 1] = True
         starts[at[:-1][at[:-1] < at[1:]]] = True
         first = np.flatnonzero(starts)
         bounds = np.append(first, len(data)).astype(np.int64)
