@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Training has two steps. (1) Over all labelled training documents, n-grams (hashed into ``2 ** bits`` bins) are counted by class in
+Training takes a bounded sample of labelled documents (``training_rows``) and has two steps. (1) Over all of them, n-grams (hashed into ``2 ** bits`` bins) are counted by class in
 parallel; each task sends its non-empty bins, summed by Spark. The log-count ratio of a bin is
 r = log((a + toxic) / (sum of those)) - log((a + clean) / (sum of those)); the ``features`` bins that tell most (|r| times
 the root of their count) are kept. (2) A logistic regression on x = r * [the document has the n-gram] is fitted on a sample of at
-most ``sample_docs`` training documents (those of the smallest hashes), the one bounded sample here. The model is two arrays of
+most ``sample_docs`` of them (those of the smallest hashes). The model is two arrays of
 fixed size, so broadcasting it doesn't grow with the data.
 
 Results for odd input: empty or null text scores by the intercept alone; documents without a label don't train; repeated rows score
@@ -23,20 +23,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmatch.llm.common import slices
+from kinmatch.llm.common import slices, written
 
 MULTIPLIER = np.uint32(0x9E3779B1)
 
 
 @dataclass(frozen=True)
 class Settings:
-    orders: tuple[int, ...] = (4, 5)
+    orders: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     features: int = 1 << 13
     least_count: int = 4
     smoothing: float = 1.0
     sample_docs: int = 8_000
-    ridge: float = 1.0
+    ridge: float = 0.1
     steps: int = 120
 
 
@@ -116,7 +116,7 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: n
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
     """labelled: doc_id, text, toxic (0 or 1; others are left out)."""
     s = settings
-    rows = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = written(labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "training")
     bins = 1 << s.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,12 @@ def is_held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out fold. A doc_id labelled more than once trains with its largest label."""
-    marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(~is_held_out()).join(marks, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """At most ``most`` labelled documents outside the held-out fold, those of the smallest hashes of doc_id.
+
+    The sample is bounded by that parameter, so its ids are broadcast and no text moves to meet its label. A doc_id labelled more
+    than once trains with its largest label.
+    """
+    fit = labels.where("toxic in (0, 1) and doc_id is not null").where(~is_held_out())
+    marks = fit.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
