@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -64,7 +65,21 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinmatch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a written table that no later step reads."""
+    _remove(df.sparkSession, df._kinmatch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Between steps: Spark removes shuffle files and checkpoints once the driver's garbage collection finds that no plan refers to them
+    any more. Finished steps are on shared storage by then, so nothing that could be needed again goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def with_identity(docs: DataFrame, text: str = "text") -> DataFrame:

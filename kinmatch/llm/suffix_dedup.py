@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import cut, ragged, slices, with_identity, written
+from kinmatch.llm.common import discard, ragged, release, slices, with_identity, written
 
 LENGTH, GRAM = 200, 16
 #: Windows of a batch, and different contents of a key beyond which it is sliced, and the slices.
@@ -280,32 +280,52 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """_k, _v, spans (array of (at, end) byte ranges) of the texts that have repeated windows; docs have _k, _v, text."""
+def shared_records(docs: DataFrame) -> DataFrame:
+    """Records whose key comes more than once, with whether the key has several contents."""
     found = written(docs.select("_k", "_v", "text").mapInArrow(locate, "key long, content long, k long, v long, at long, n int, lead int"), "records")
-    # a key of one record matches nothing; a key of one content matches itself if it comes twice
     keys = found.groupBy("key").agg(F.count("*").alias("rows"), F.min("content").alias("low"), F.max("content").alias("high")).where("rows > 1")
-    shared = found.join(keys.select("key", (F.col("low") != F.col("high")).alias("several")), "key")
-    shared = written(shared, "shared-records")
-    contents = shared.where("several").groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("k", "v", "at", "n", "lead")).alias("one"))
-    contents = cut(contents.select("key", "content", "copies", "one.*"))
-    parts = contents.groupBy("key").agg(F.when(F.count("*") > HOT_CONTENTS, SLICES).otherwise(1).alias("parts"))
-    wanted = contents.join(parts, "key").groupBy(F.col("k").alias("_k"), F.col("v").alias("_v")).agg(F.collect_list(F.struct("key", "content", "at", "n", "lead", "parts")).alias("wanted"))
-    texts = docs.select("_k", "_v", "text").join(wanted, ["_k", "_v"])
-    texts = texts.groupBy("_k", "_v").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")) if _has_versions(found) else texts
+    shared = written(found.join(keys.select("key", (F.col("low") != F.col("high")).alias("several")), "key"), "shared-records")
+    discard(found)
+    return shared
+
+
+def matched_runs(docs: DataFrame, contents: DataFrame, odd: bool) -> DataFrame:
+    """(key, content, skip, n): the windows of different contents that match others. Texts move to meet what is wanted of them."""
+    parts = contents.groupBy("key").agg(F.when(F.count("*") > HOT_CONTENTS, SLICES).otherwise(1).alias("parts")).where("parts > 1")
+    several = contents.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    wanted = several.groupBy(F.col("k").alias("_k"), F.col("v").alias("_v")).agg(F.collect_list(F.struct("key", "content", "at", "n", "lead", "parts")).alias("wanted"))
+    texts = docs.select("_k", "_v", "text")
+    texts = (texts.dropDuplicates(["_k", "_v"]) if odd else texts).join(wanted, ["_k", "_v"])
     bytes_of = texts.select("text", "wanted").mapInArrow(fetch, "key long, slice int, content long, skip int, n int, bytes binary")
-    runs = bytes_of.repartition("key", "slice").sortWithinPartitions("key", "slice").mapInArrow(match, "key long, content long, skip int, n int")
+    return bytes_of.repartition("key", "slice").sortWithinPartitions("key", "slice").mapInArrow(match, "key long, content long, skip int, n int")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """_k, _v, spans (array of (at, end) byte ranges) of the texts that have repeated windows; docs have _k, _v, text.
+
+    Each step ends on shared storage, and what only earlier steps needed is removed.
+    """
+    spark = docs.sparkSession
+    # a key of one record matches nothing; a key of one content matches itself, as it comes twice
+    shared = shared_records(docs)
+    release(spark)
+    contents = shared.where("several").groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("k", "v", "at", "n", "lead")).alias("one"))
+    contents = written(contents.select("key", "content", "copies", "one.*"), "contents")
+    release(spark)
+    odd = shared.where("v <> 0").limit(1).count() > 0
+    runs = written(matched_runs(docs, contents, odd), "runs")
+    release(spark)
     # windows of a content that comes twice all match; else those that the index found
     twice = shared.join(contents.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi").select("k", "v", "at", "n")
     alone = shared.where("not several").select("k", "v", "at", "n")
     some = shared.where("several").select("key", "content", "k", "v", "at").join(runs, ["key", "content"]).select("k", "v", (F.col("at") + F.col("skip")).alias("at"), "n")
     spans = twice.unionByName(alone).unionByName(some).select(F.col("k").alias("_k"), F.col("v").alias("_v"), "at", (F.col("at") + F.col("n") + (LENGTH - 1)).alias("end"))
     # a text has at most one span for each of its bytes, so a text's spans are bounded by the text
-    return spans.groupBy("_k", "_v").agg(F.collect_list(F.struct("at", "end")).alias("spans"))
-
-
-def _has_versions(found: DataFrame) -> bool:
-    return found.where("v <> 0").limit(1).count() > 0
+    out = written(spans.groupBy("_k", "_v").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "spans")
+    for table in (shared, contents, runs):
+        discard(table)
+    release(spark)
+    return out
 
 
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
