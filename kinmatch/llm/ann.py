@@ -120,7 +120,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, settings: Setting
     sound = vectors.where(F.col("vec_id").isNotNull() & usable() & (F.size("embedding") == length))
     rows = sound.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("query"))
     squares = F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v)
-    top = rows.agg(F.count("*").alias("n"), F.count_if("query").alias("queries"), F.max(squares).alias("most")).first()
+    top = rows.agg(F.count("*").alias("n"), F.count_if(F.col("query")).alias("queries"), F.max(squares).alias("most")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not top.n or not top.queries:
         return spark.createDataFrame([], schema)
