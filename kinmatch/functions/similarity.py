@@ -67,7 +67,7 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     """Jaro similarity, raised by the common prefix of up to 4 characters if above 0.7."""
     if not a or not b:
         return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
     taken, first = [False] * len(b), []
     for i, c in enumerate(a):
         for j in range(max(0, i - reach), min(len(b), i + reach + 1)):

@@ -61,7 +61,7 @@ def read_targets(spark: SparkSession, *paths: str, warnings: list[str] | None =
 def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(spine: s1_id, ordinal; links: s1_id, target_id). Blank ids are dropped; of rows that share an S1 the last counts."""
     rows = last_of_each(_tsv(spark, path, TRUTH).withColumnRenamed(TRUTH[0], "s1_id"), "s1_id")
-    ids = F.filter(F.transform(F.split(TRUTH[1], ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(TRUTH[1], ","), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select("s1_id", "ordinal"), rows.select("s1_id", F.explode(F.array_distinct(ids)).alias("target_id"))
 
 
