@@ -9,11 +9,13 @@ Keys are never expanded into all pairs. Documents with equal sets are one class
 
 1. each bucket links its members to its smallest one, each class keeps the bucket leader it shares most keys with, and those pairs are
    confirmed on full sets; components follow;
-2. within buckets that still hold several components, signatures of different components are compared (vectorised, in blocks), and
-   the pairs within 17 are confirmed: first the nearest two of any two components, then, where they are still apart, all.
+2. within buckets that still hold several components, signatures of different components are compared (vectorised, in blocks). What is
+   within 17 of another component stays in the bucket, meets its text, and the bucket's full sets are compared over inverted lists;
+   links that join components go out, a forest of them.
 
-So every pair within the signature distance is either confirmed or known to be connected already. Confirming moves texts to the
-pair's leader and compares sets in a stream; a leader's members are dealt out over salted groups.
+So every pair within the signature distance is either compared on full sets or known to be connected already, and no step's output has
+a row per pair. Confirming a guess moves texts to the pair's leader and compares sets in a stream; a leader's members are dealt out over
+salted groups, a bucket's members over block pairs.
 
 Results for odd input: null text or text without words has an empty set and links with nothing; with one to four words the set has
 one element, the whole sequence; rows that share a doc_id are one node, each reporting its own set's size; a null doc_id keeps its
@@ -29,9 +31,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from kinmatch.llm.common import cut, slices
+from kinmatch.llm.common import cut, ragged, release, slices
 from kinmatch.llm.components import by_id, components
 
 SHINGLE = 5
@@ -39,6 +40,7 @@ CHUNKS, CHUNK = 9, 5
 COMPONENTS = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 PERCENT = 85
+GROUP = ("key", "x", "y")
 #: Members of a leader that one group confirms; members of a bucket that one block holds; shared keys that make a first guess.
 GROUP_MEMBERS, BLOCK_MEMBERS, LIKELY_KEYS = 512, 4096, 5
 
@@ -126,64 +128,122 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COMPONENTS)
 
 
+def band_key(signs: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """The key of each signature (a row) for its band: a chunk without one of its components is exactly 64 bits; the band is mixed in."""
+    chunk, left = np.divmod(band, CHUNK)
+    value, rows = np.zeros(len(signs), np.uint64), np.arange(len(signs))
+    for k in range(CHUNK - 1):
+        value |= signs[rows, chunk * CHUNK + k + (k >= left)].astype(np.uint64) << np.uint64(16 * k)
+    return mixed(value) + band.astype(np.uint64) * BASE
+
+
 def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node): each chunk without one of its components is exactly 64 bits; the band number is mixed in."""
+    """(key, node) for every band."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        signs = matrix(batch.column("sig")).astype(np.uint64)
-        keys = np.empty((len(signs), COMPONENTS), np.uint64)
-        for band in range(COMPONENTS):
-            chunk, left = divmod(band, CHUNK)
-            kept = [chunk * CHUNK + k for k in range(CHUNK) if k != left]
-            value = np.zeros(len(signs), np.uint64)
-            for shift, k in enumerate(kept):
-                value |= signs[:, k] << np.uint64(16 * shift)
-            keys[:, band] = mixed(value) + np.uint64(band * int(BASE) % (1 << 64))
+        signs = matrix(batch.column("sig"))
+        keys = np.stack([band_key(signs, np.full(len(signs), band)) for band in range(COMPONENTS)], 1)
         yield pa.record_batch({"key": pa.array(keys.view(np.int64).ravel()), "node": pa.array(np.repeat(np.asarray(batch.column("node"), np.int64), COMPONENTS))})
 
 
-def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, x, y, side, node, label, sig) sorted by (key, x, y): pairs of one block pair, of different labels, within the radius.
-
-    x = y: all pairs of the block; else only pairs of unlike side.
-    """
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, x, y, side, node, label = (np.asarray(rows.column(c)) for c in ("key", "x", "y", "side", "node", "label"))
-        signs = matrix(rows.column("sig").combine_chunks())
-        first = np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-        group = np.cumsum(first) - 1
-        for d in range(1, len(key)):
-            i = np.flatnonzero(group[:-d] == group[d:])
-            if not len(i):
-                break
-            j = i + d
-            use = (label[i] != label[j]) & ((x[i] == y[i]) | (side[i] != side[j]))
-            i, j = i[use], j[use]
-            far = np.count_nonzero(signs[i] != signs[j], axis=1)
-            near = far <= RADIUS
-            if near.any():
-                i, j, far = i[near], j[near], far[near]
-                yield pa.record_batch({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j])), "far": pa.array(far, pa.int32())})
-
+def by_group(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows in the order of names to tables of whole groups."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, x, y = (np.asarray(batch.column(c)) for c in ("key", "x", "y"))
-        change = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+        columns = [np.asarray(batch.column(c)) for c in names]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
         last = 0
         if len(change):  # the last group may go on in the next batch
             last = int(change[-1]) + 1
-            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
             held = []
-        elif held and (held[-1].column("key")[-1], held[-1].column("x")[-1], held[-1].column("y")[-1]) != (batch.column("key")[0], batch.column("x")[0], batch.column("y")[0]):
-            yield from pairs(pa.Table.from_batches(held))
+        elif held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in names):
+            yield pa.Table.from_batches(held)
             held = []
         held.append(batch.slice(last))
     if held:
-        yield from pairs(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def group_numbers(rows: pa.Table) -> np.ndarray:
+    key, x, y = (np.asarray(rows.column(c)) for c in GROUP)
+    return np.cumsum(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) - 1
+
+
+def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, x, y, side, node, label, sig): those with a signature of another label within the radius in their block pair.
+
+    x = y: all pairs of the block; else only pairs of unlike side. A pair counts only under the first key that it shares.
+    """
+    for rows in by_group(batches, GROUP):
+        key, x, y, side, node, label = (np.asarray(rows.column(c)) for c in (*GROUP, "side", "node", "label"))
+        signs, group = matrix(rows.column("sig").combine_chunks()), group_numbers(rows)
+        hit = np.zeros(len(key), bool)
+        for d in range(1, len(key)):
+            i = np.flatnonzero(group[:-d] == group[d:])
+            if not len(i):
+                break
+            i = i[(label[i] != label[i + d]) & ((x[i] == y[i]) | (side[i] != side[i + d]))]
+            equal = signs[i] == signs[i + d]
+            near = np.count_nonzero(equal, axis=1) >= COMPONENTS - RADIUS
+            i, equal = i[near], equal[near].reshape(-1, CHUNKS, CHUNK)
+            chunk = (np.count_nonzero(equal, axis=2) >= CHUNK - 1).argmax(1)
+            left = (~equal[np.arange(len(i)), chunk]).argmax(1)  # the component that differs, or the first if none does
+            i = i[band_key(signs[i], chunk * CHUNK + left).view(np.int64) == key[i]]
+            hit[i] = hit[i + d] = True
+        found = np.flatnonzero(hit)
+        yield pa.record_batch({"key": pa.array(key[found]), "x": pa.array(x[found]), "y": pa.array(y[found]), "side": pa.array(side[found]), "node": pa.array(node[found]), "label": pa.array(label[found])})
+
+
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, x, y, side, node, label, text), a group's together: links on full sets that join labels, a spanning forest of them.
+
+    Intersections of one document with all others of its group are counted over the group's inverted lists.
+    """
+
+    def links(sets: list[np.ndarray], node: np.ndarray, label: np.ndarray, side: np.ndarray, all_pairs: bool) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        _, root = np.unique(label, return_inverse=True)
+        for i, s in enumerate(sets):
+            low = np.searchsorted(flat, s)
+            holders = owner[ragged(low, np.searchsorted(flat, s, "right") - low)]
+            common = np.bincount(holders, minlength=len(sets))
+            good = 100 * common >= PERCENT * (sizes[i] + sizes - common)
+            good[: i + 1] = False
+            good &= root != root[i]
+            if not all_pairs:
+                good &= side != side[i]
+            for j in np.flatnonzero(good).tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    yield int(node[i]), int(node[j])
+
+    def parts() -> Iterator[tuple]:
+        for batch in batches:
+            for rows, data, at in slices(batch, "text", 2 << 20):
+                yield from zip(zip(*(rows.column(c).to_pylist() for c in GROUP), strict=True), shingle_sets(data, at), *(rows.column(c).to_pylist() for c in ("node", "label", "side")), strict=True)
+
+    def whole(group: tuple, own: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sets, node, label, side = zip(*own, strict=True)
+        found = list(links(list(sets), np.array(node), np.array(label), np.array(side), group[1] == group[2]))
+        yield pa.record_batch({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    now, own = None, []
+    for group, *row in parts():
+        if group != now and own:
+            yield from whole(now, own)
+            own = []
+        now = group
+        own.append(tuple(row))
+    if own:
+        yield from whole(now, own)
 
 
 def confirm_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +279,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(confirm_rows, "a long, b long")
 
 
+def apart(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket: those that the radius allows, confirmed on full sets."""
+    marked = buckets.join(labels, "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("label"))
+    open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+    rows = marked.join(open_keys, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    rows = rows.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", "node", "label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    rows = rows.join(classes.select("node", "sig"), "node").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    flagged = cut(rows.mapInArrow(probe, "key long, x int, y int, side int, node long, label long"))
+    full = flagged.join(texts, "node").select(*GROUP, "side", "node", "label", "text")
+    return cut(full.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(settle, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs (doc_id, text)."""
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count() > 0
@@ -230,6 +304,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = classes.select("node", "sig").mapInArrow(key_rows, "key long, node long")
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
     buckets = cut(keys.join(leaders, "key"))
+    del keys, leaders
+    release(docs.sparkSession)
 
     stars = buckets.where("node <> leader").groupBy("leader", "node").agg(F.count("*").alias("shared"))
     best = stars.where(F.col("shared") >= LIKELY_KEYS).groupBy("node").agg(F.max(F.struct("shared", (-F.col("leader")).alias("minus"))).alias("best"))
@@ -237,31 +313,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a class is read for its set through one of its rows
     own_text = texts.select("node", "text").dropDuplicates(["node"]) if odd else texts.select("node", "text")
     links = cut(confirmed(guess, own_text))
+    del stars, best
+    release(docs.sparkSession)
     labels = components(links)
 
-    for nearest in (2, None):
-        marked = buckets.join(labels, "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("label"))
-        open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
-        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        rows = marked.join(open_keys, "key").withColumns({"blocks": blocks, "block": block})
-        rows = rows.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("key", "node", "label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-        rows = rows.join(classes.select("node", "sig"), "node")
-        rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-        found = rows.mapInArrow(near_pairs, "a long, b long, far int").groupBy("a", "b").agg(F.min("far").alias("far"))
-        for side in ("a", "b"):
-            found = found.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-        pairs = found.select("a", "b", "far", F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"))
-        if nearest:
-            pairs = pairs.withColumn("k", F.row_number().over(W.partitionBy("low", "high").orderBy("far", "a", "b"))).where(F.col("k") <= nearest)
-        pairs = cut(pairs.select("a", "b"))
-        if not pairs.limit(1).count():
-            break
-        more = cut(confirmed(pairs, own_text))
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
+    more = apart(buckets, classes, labels, own_text)
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
+    release(docs.sparkSession)
 
     member = classes.select("h1", "h2", F.col("node").alias("rep"))
     out = signed.join(member, ["h1", "h2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "node")).otherwise(F.col("node")))
