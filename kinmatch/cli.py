@@ -69,7 +69,8 @@ def link(spark: SparkSession, args: argparse.Namespace) -> int:
     scorer = linkage.trained(model.PairModel.load(f"{args.model}/trees")) if args.model else linkage.linear
     records, chosen = load(spark, args.data, said), config(args, metadata)
     table = observed_table(records, "business_name", "business_address")
-    known = normalize(records, table)
+    normalize(records, table).write.mode("overwrite").parquet(f"{args.output}/normalized")  # keys and features read it, each side twice
+    known = spark.read.parquet(f"{args.output}/normalized")
     s1, targets = known.where("source = 'S1'"), known.where("source <> 'S1'")
     spine = s1.select(F.col("entity_id").alias("s1_id"), "ordinal", "country")
     pairs = linkage.blocking.candidates(s1, targets, chosen.top_k, chosen.common_limit, chosen.rare_limit)
