@@ -86,3 +86,18 @@ def top_candidates(pairs: DataFrame, k: int | None = 50) -> DataFrame:
 def candidates(s1: DataFrame, targets: DataFrame, k: int | None = 50, common: int | None = COMMON_KEY_LIMIT, rare: int | None = RARE_KEY_LIMIT) -> DataFrame:
     """(s1_id, target_id, shared_keys, rank) of normalized records."""
     return top_candidates(shared_keys(blocking_keys(s1), blocking_keys(targets), common, rare), k)
+
+
+def candidates_by_source(s1: DataFrame, targets: DataFrame, k: int | None = 50, common: int | None = COMMON_KEY_LIMIT, rare: int | None = RARE_KEY_LIMIT, sources: tuple[str, ...] = ("S2", "S3")) -> DataFrame:
+    """As candidates, but each source's targets have an index, caps and ranks of their own: one plan, the source being part of the key."""
+    mark = lambda frame: blocking_keys(frame).join(frame.select("entity_id", "source"), "entity_id")
+    by_source = lambda keys: keys.withColumn("country", F.concat_ws("|", "source", "country")).drop("source")
+    asked = by_source(blocking_keys(s1).withColumn("source", F.explode(F.array(*map(F.lit, sources)))))
+    pairs = shared_keys(asked, by_source(mark(targets)), common, rare).withColumn("source", F.split("target_id", "-")[0])
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("s1_id", "source").orderBy(F.desc("shared_keys"), "target_id")))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def across_countries(normalized: DataFrame) -> DataFrame:
+    """Records as if of one country, for an index over all of them."""
+    return normalized.withColumn("country", F.lit(""))

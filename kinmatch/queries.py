@@ -213,6 +213,20 @@ def blocking_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.unionByName(evaluate.blocking_study(truth, blocking.candidates(s1, targets, None, None, None)).withColumn("caps", F.lit(False)))
 
 
+def candidates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = text.normalize(doc_records(spark, sf_dir))
+    return blocking.candidates_by_source(known.where("source = 'S1'"), known.where("source <> 'S1'"), CONFIG.top_k, CONFIG.common_limit, CONFIG.rare_limit)
+
+
+def candidates_across_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = blocking.across_countries(text.normalize(doc_records(spark, sf_dir)))
+    return blocking.candidates(known.where("source = 'S1'"), known.where("source <> 'S1'"), CONFIG.top_k, CONFIG.common_limit, CONFIG.rare_limit)
+
+
+def target_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).groupBy(F.substring("target_id", 1, 2).alias("source")).agg(F.count("*").alias("pairs"), F.count_distinct("target_id").alias("targets"))
+
+
 def retrieval_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.retrieval_categories(doc_truth(spark, sf_dir), _candidates(spark, sf_dir), 5)
 
@@ -251,7 +265,7 @@ _FUNCTIONS = (
     records, truth_links, normalize_records, normalize_urls, normalize_names, char_ngrams, countries, last_of_each, blocking_keys, postings, capped_keys, shared_keys,
     candidates, native_features, fuzzy_features, all_features, scored_pairs, exclusive_links, matched_lists, entity_scores, metrics, metrics_by_country, source_report,
     link_metrics, candidate_recall, candidate_histogram, candidate_statistics, restricted_oracle, error_decomposition, source_threshold_grid, global_threshold_grid,
-    training_pairs, reduced_pool, boosted_scores, candidate_hashes, density, blocking_study, retrieval_categories, link_summary, rule_offenders, outside_candidates, select_and_exclude,
+    training_pairs, reduced_pool, boosted_scores, candidate_hashes, density, blocking_study, candidates_by_source, candidates_across_countries, target_universe, retrieval_categories, link_summary, rule_offenders, outside_candidates, select_and_exclude,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _FUNCTIONS}
 
@@ -457,6 +471,12 @@ UNION ALL SELECT entity_id, source, ordinal FROM (SELECT *, row_number() OVER (P
     "blocking_study": _with(f"""{_RANKED}, free AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY shared_keys DESC, target_id) AS rank FROM (
   SELECT s.entity_id AS s1_id, t.entity_id AS target_id, count(*) AS shared_keys FROM keys s JOIN keys t USING (country, key_type, key_value) WHERE s.source = 'S1' AND t.source <> 'S1' GROUP BY ALL)),
   held AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY shared_keys DESC, target_id) AS rank FROM paired)""", "SELECT count(*) AS links, count(rank) AS hit_all, count(CASE WHEN rank <= 20 THEN 1 END) AS hit_20, count(CASE WHEN rank <= 50 THEN 1 END) AS hit_50, true AS caps FROM truth LEFT JOIN held USING (s1_id, target_id) UNION ALL SELECT count(*), count(rank), count(CASE WHEN rank <= 20 THEN 1 END), count(CASE WHEN rank <= 50 THEN 1 END), false FROM truth LEFT JOIN free USING (s1_id, target_id)"),
+    "candidates_by_source": _with(f"""{KEYS_SQL},
+by_source AS (SELECT source, country, key_type, key_value FROM keys WHERE source <> 'S1' GROUP BY ALL HAVING count(*) <= CASE WHEN key_type IN ('sort_n', 'addr_pair') THEN {CONFIG.rare_limit} ELSE {CONFIG.common_limit} END),
+pairs AS (SELECT s.entity_id AS s1_id, t.entity_id AS target_id, t.source, count(*) AS shared_keys FROM keys s JOIN keys t USING (country, key_type, key_value) JOIN by_source b ON b.source = t.source AND b.country = t.country AND b.key_type = t.key_type AND b.key_value = t.key_value
+  WHERE s.source = 'S1' GROUP BY ALL)""", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id, source ORDER BY shared_keys DESC, target_id) AS INTEGER) AS rank FROM pairs) WHERE rank <= {CONFIG.top_k}"),
+    "candidates_across_countries": _with(CANDIDATES_SQL.replace("SELECT country, split_part", "SELECT '' AS country, split_part"), "SELECT * FROM candidates"),
+    "target_universe": _with(CANDIDATES_SQL, "SELECT left(target_id, 2) AS source, count(*) AS pairs, count(DISTINCT target_id) AS targets FROM candidates GROUP BY 1"),
     "retrieval_categories": _with(_RANKED, "SELECT CASE WHEN rank <= 5 THEN 'within_k' WHEN rank IS NOT NULL THEN 'retrieved' ELSE 'not_retrieved' END AS category, count(*) AS links FROM truth LEFT JOIN candidates USING (s1_id, target_id) GROUP BY 1"),
     "link_summary": _with(_ALL, "SELECT count(*) AS entities, count(CASE WHEN n = 0 THEN 1 END) AS singletons, count(CASE WHEN n > 0 THEN 1 END) AS matched, CAST(sum(n2) AS BIGINT) AS s2_links, CAST(sum(n) - sum(n2) AS BIGINT) AS s3_links FROM (SELECT s.s1_id, count(target_id) AS n, count(CASE WHEN starts_with(target_id, 'S2-') THEN 1 END) AS n2 FROM spine s LEFT JOIN links USING (s1_id) GROUP BY 1)"),
     "outside_candidates": _with(_RANKED, "SELECT DISTINCT s1_id FROM truth t ANTI JOIN candidates c USING (s1_id, target_id)"),
