@@ -284,8 +284,11 @@ def shared_records(docs: DataFrame) -> DataFrame:
     """Records whose key comes more than once, with whether the key has several contents."""
     found = written(docs.select("_k", "_v", "text").mapInArrow(locate, "key long, content long, k long, v long, at long, n int, lead int"), "records")
     keys = found.groupBy("key").agg(F.count("*").alias("rows"), F.min("content").alias("low"), F.max("content").alias("high")).where("rows > 1")
-    shared = written(found.join(keys.select("key", (F.col("low") != F.col("high")).alias("several")), "key"), "shared-records")
+    # on storage first, so that the join's sides are plain exchanges, whose hot keys Spark can split
+    keys = written(keys.select("key", (F.col("low") != F.col("high")).alias("several")), "shared-keys")
+    shared = written(found.join(keys, "key"), "shared-records")
     discard(found)
+    discard(keys)
     return shared
 
 
