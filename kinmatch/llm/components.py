@@ -10,12 +10,12 @@ from kinmatch.llm.common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     hooked = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node it reaches) for every node that isn't itself its component.
 
-    Each step is partial aggregations and joins on node ids, so a node with very many links is spread out. The number of steps grows
+    Each step is partial aggregations, checkpointed, and joins on node ids of plain exchanges, so Spark splits a node with very many links. The number of steps grows
     with the logarithm of the size; each step's table is checkpointed, so a lost executor costs one step at most.
     """
     edges = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -33,7 +33,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(cut(_large_star(edges))))
 
 
 def by_id(rows: DataFrame, key: str, *more: str) -> DataFrame:

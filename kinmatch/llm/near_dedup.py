@@ -3,7 +3,7 @@
 A document's set is its distinct five-word shingles (64-bit hashes). Its signature is 45 components of 16 bits (b-bit minwise
 hashes), cut into 9 chunks of 5. Two signatures that differ in at most 17 components differ in at most one of some chunk's five
 (pigeonhole), so they share one of the 45 keys made of a chunk without one component (the allowed chunk error). At a similarity of
-0.85 more than 17 of 45 differ with a probability of about 2e-5, less above.
+0.85 more than 17 of 45 differ with a probability of about 4e-5, at 0.9 of about 1e-7.
 
 Keys are never expanded into all pairs. Documents with equal sets are one class first, known by its smallest node. Then
 
@@ -42,7 +42,7 @@ RADIUS = 2 * CHUNKS - 1
 PERCENT = 85
 GROUP = ("key", "x", "y")
 #: Members of a leader that one group confirms; members of a bucket that one block holds; shared keys that make a first guess.
-GROUP_MEMBERS, BLOCK_MEMBERS, LIKELY_KEYS = 512, 4096, 5
+GROUP_MEMBERS, BLOCK_MEMBERS, LIKELY_KEYS = 512, 512, 5
 
 _random = np.random.default_rng(20_240_101)
 BYTE_VALUE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -282,7 +282,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def apart(buckets: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between components that share a bucket: those that the radius allows, confirmed on full sets."""
     marked = buckets.join(labels, "node", "left").select("key", "members", "node", F.coalesce("component", "node").alias("label"))
+    marked = cut(marked)
     open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    open_keys = cut(open_keys)
     blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     rows = marked.join(open_keys, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     rows = rows.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -302,7 +304,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     filled = signed.where("n > 0")
     classes = cut(filled.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.first("sig").alias("sig")))
     keys = classes.select("node", "sig").mapInArrow(key_rows, "key long, node long")
-    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    # checkpointed first, so that the join's sides are plain exchanges, whose hot keys Spark can split
+    leaders = cut(keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1"))
     buckets = cut(keys.join(leaders, "key"))
     del keys, leaders
     release(docs.sparkSession)
