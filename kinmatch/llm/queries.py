@@ -65,7 +65,7 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.taken_words(docs).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mixing.taken_words(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann, op2_near_dedup, op3_token_files, op4_url_rules, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_toxicity, op9_cover_tree, op10_mixing)}
@@ -127,7 +127,7 @@ placed AS (
   SELECT s.*, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 3 * t.source_size) AS words,
          CAST(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id) - size AS BIGINT) AS pos
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 3) AS target,
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
        CASE WHEN source_size = 0 THEN 0 ELSE CAST((words // source_size) * size + greatest(0, least(size, words % source_size - pos)) AS BIGINT) END AS taken
 FROM placed
 """
