@@ -25,7 +25,7 @@ from kinmatch.llm.encoding import encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Partitions whose leftovers one merging task takes: windows x length x 4 bytes x this many are in its memory.
-MERGED_AT_ONCE = 64
+MERGED_AT_ONCE = 16
 
 
 class Packer:
