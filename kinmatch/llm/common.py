@@ -92,7 +92,7 @@ def with_identity(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_v": version})
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about ``most`` bytes of text: (rows, bytes, n + 1 offsets). Null text is empty.
 
     A longer text comes alone and whole.

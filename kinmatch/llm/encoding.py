@@ -27,7 +27,7 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def encoder(path: str, cache_words: int = 500_000) -> "Encoder":
+def encoder(path: str, cache_words: int = 400_000) -> "Encoder":
     """One encoder for each worker process."""
     key = (path, cache_words)
     if key not in _encoders:
@@ -43,7 +43,7 @@ class Encoder:
     Tokenizers of another kind encode whole texts.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
