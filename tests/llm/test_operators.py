@@ -226,7 +226,7 @@ def test_op8_held_out_accuracy(spark, sf_dir):
     rows = queries.op8_toxicity(spark, sf_dir).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in labels]
-    assert len(held) > 500 and np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.97
+    assert len(held) > 500 and np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.98
     assert np.mean([r.predicted for r in held if labels[r.doc_id]]) > 0.9
 
 
