@@ -39,7 +39,7 @@ class Settings:
     sample: int = 8192
     calibration_queries: int = 256
     cover: float = 0.97
-    rounds: int = 20
+    rounds: int = 8
     query_block: int = 4096
     index_block: int = 8192
 
