@@ -26,8 +26,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near duplicates."""
-    return near_dedup.one_of_each(docs)
+    """Keeps the document of the smallest doc_id of each group of near duplicates, linked at a Jaccard similarity of 0.8 or more."""
+    return near_dedup.one_of_each(docs, near_dedup.AT_80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
