@@ -16,8 +16,8 @@ from kinmatch.sources import scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Caps and thresholds at which these tables show every case.
-CONFIG = linkage.Config(top_k=10, common_limit=60, rare_limit=30, s2_threshold=0.45, s3_threshold=0.40)
+#: Production caps; thresholds on the scale of the linear scorer, which isn't a probability.
+CONFIG = linkage.Config(s2_threshold=0.45, s3_threshold=0.40)
 DIGITS = 6
 
 
@@ -193,7 +193,7 @@ def reduced_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = doc_records(spark, sf_dir)
-    fitted = linkage.train(known, doc_truth(spark, sf_dir), _spine(spark, sf_dir).select("s1_id"), config=CONFIG, maxIter=5, maxDepth=4)
+    fitted = linkage.train(known, doc_truth(spark, sf_dir), _spine(spark, sf_dir).select("s1_id"), config=CONFIG)
     scored = linkage.score_candidates(*_retrieved(spark, sf_dir), linkage.trained(fitted))
     return scored.select("s1_id", "target_id", F.round("p", 4).alias("p"))
 
