@@ -96,7 +96,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
     sites = parts.select(site.alias("_site")).distinct()
     asked = sites.select("_site", F.explode(F.array_distinct(F.split(F.lower("_site"), "[^a-z0-9]+"))).alias("token"))
     fits = asked.join(filed, "token").where("rlike(_site, pattern)")
-    won = fits.groupBy("_site").agg(F.max_by(F.struct("name", "verdict"), F.struct("rank", F.transform(F.split("name", ""), lambda c: -F.ascii(c)))).alias("_won"))
+    won = fits.groupBy("_site").agg(F.min_by(F.struct("name", "verdict"), F.struct(-F.col("rank"), "name")).alias("_won"))
     return parts.withColumn("_site", site).join(won, "_site", "left").select(*kept, "host", "path", F.col("_won.name").alias("rule"), F.coalesce(F.col("_won.verdict"), F.lit(default)).alias("verdict"))
 
 
