@@ -96,13 +96,21 @@ def schedule(sources: DataFrame, n: int) -> DataFrame:
     return ranked.unionByName(late.select((F.lit(n) + F.col("rank") * (1 << 20) + F.col("source_no")).alias("slot"), "source_no", "rank"))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """As ``with_identity``, but rows that repeat a doc_id share an identity only if all their columns agree."""
+    value = lambda c, kind: F.to_json(F.struct(c)) if "map<" in kind else F.col(c)
+    own = [x for c, kind in docs.dtypes for x in (F.col(c).isNull(), value(c, kind))]
+    known = with_identity(docs)
+    return known.withColumn("_v", F.when(F.col("_v") == 0, F.col("_v")).otherwise(F.xxhash64(*own)))
+
+
 def mix(docs: DataFrame, block_words: int = 8192, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(documents placed, pieces taken) of the mix.
 
     placed: doc_id, source, size, source_no, source_size, target, pos and the row's identity.
     pieces: source_no, pos, slot, epoch, first_word, n_words: in slot order the mix's words.
     """
-    known = with_identity(docs)
+    known = identified(docs)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = cut(known.select("_k", "_v", "doc_id", "source", word_count().alias("size"), key.alias("key")))
     sources = cut(source_targets(sized, block_words))
@@ -138,7 +146,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 8192, seed: int = 1) ->
     where, pieces = mix(docs, block_words, seed)
     epochs = pieces.groupBy("source_no", "pos", "epoch").agg(F.sum("n_words").alias("_words"))
     epochs = epochs.join(where.where("size > 0").select("source_no", "pos", "_k", "_v", F.col("size").alias("_size")), ["source_no", "pos"]).select("_k", "_v", "_words", "_size")
-    texts = with_identity(docs)
+    texts = identified(docs)
     if _repeats(where):
         texts = texts.dropDuplicates(["_k", "_v"])
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("_words").cast("int")), "")
