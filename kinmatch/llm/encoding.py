@@ -36,11 +36,12 @@ def encoder(path: str, cache_words: int = 400_000) -> "Encoder":
 
 
 class Encoder:
-    """Ids exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, special strings being ordinary text.
+    """Ids exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     A byte-level pre-tokenizer always starts a piece at a single space between two other characters, between an ASCII letter and
     ASCII punctuation, and around a single line feed, so text is cut there, and the ids of a piece don't depend on its neighbours.
-    Tokenizers of another kind encode whole texts.
+    A text that holds the string of an added token, which the library takes out before it cuts, goes to the library whole, as does
+    every text where the tokenizer is of another kind.
     """
 
     def __init__(self, path: str, cache_words: int = 400_000):
@@ -50,10 +51,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.width = max(1, (self.whole.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]
         self.most, self.cache = cache_words, {}
         if self.by_word:
             self.bare = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "decoder": None, "added_tokens": []}))
@@ -79,8 +80,25 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         if not self.by_word:
-            got = [e.ids for e in self.whole.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)]
-            return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+            return self._library(data, at)
+        raw = data.tobytes()
+        if not any(t in raw for t in self.added):
+            return self._words(data, at)
+        # runs of texts with and without such a string, in order
+        marked = np.array([any(t in raw[a:b] for t in self.added) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], bool)
+        edges = [0, *(np.flatnonzero(marked[1:] != marked[:-1]) + 1).tolist(), n]
+        parts = [(self._library if marked[a] else self._words)(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _library(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whole texts by the library, one after another."""
+        got = [np.array(self.whole.encode(data[a:b].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(ids) for ids in got], np.int64)
+
+    def _words(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts without an added token, piece by piece."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
         kind = KIND[data]
         starts = data == 32
         before, own, after = kind[:-2], kind[1:-1], kind[2:]

@@ -10,7 +10,7 @@ A file (``.idpack``), all numbers little-endian:
 Any range of ids is read by unpacking the blocks that it touches, with numpy only.
 
 Results for odd input: null text is empty, and a document without ids still has its end id; null doc_ids come first and stay
-null; rows with one doc_id stay separate rows, ordered by text; an empty table gives one empty manifest and no rows; other
+null; rows with one doc_id stay separate rows, ordered by a hash of the text and then the text; an empty table gives one empty manifest and no rows; other
 columns are ignored.
 """
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinmatch.llm.common import new_path, slices
 from kinmatch.llm.encoding import encoder
@@ -51,12 +52,18 @@ def unpack(data: bytes, width: int, n: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system's scheme: one without a scheme is on Spark's default file system, not on each machine's disk."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The shared store behind a path, as executors open it."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
+    """The shared store behind a qualified path, as executors open it; pyarrow refuses a scheme that it doesn't know."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if ":" not in uri.partition("/")[0]:
+        raise ValueError(f"{uri} has no scheme, so each machine would take it for a folder of its own")
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
@@ -134,10 +141,12 @@ class Reader:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write files in ascending doc_id order; returns the manifest, one row per file.
 
-    Rows are dealt out by ranges of doc_id, so shard k's ids all come before shard k + 1's. A task writes under a name of its own
+    Rows are dealt out by ranges of doc_id and a hash of the text, so shard k's ids all come before shard k + 1's, and a doc_id that
+    many rows share is dealt over several shards. A task writes under a name of its own
     attempt, and the manifest (written with Spark's commit protocol) names only the files of attempts that succeeded.
     """
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -155,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             size = writer.close()
         yield pa.record_batch({"shard": pa.array([task.partitionId()], pa.int32()), "path": [path], "n_docs": [writer.n_docs], "n_ids": [writer.n_ids], "n_bytes": [size]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 

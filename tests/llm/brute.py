@@ -19,11 +19,11 @@ class Groups:
 
 
 def shingles(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def near_groups(texts):
+def near_groups(texts, percent=85):
     sets = {d: shingles(t) for d, t in texts.items()}
     holders, groups = defaultdict(list), Groups(sets)
     for d, s in sets.items():
@@ -31,6 +31,6 @@ def near_groups(texts):
             holders[x].append(d)
     for d, s in sets.items():
         for e, n in Counter(e for x in s for e in holders[x] if e > d).items():
-            if 100 * n >= 85 * (len(s) + len(sets[e]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[e]) - n):
                 groups.link(d, e)
     return sets, groups

@@ -70,12 +70,21 @@ def test_line_dedup(odd, none):
     rows = out.collect()
     assert len(rows) == len(ROWS) and set(odd.columns) <= set(out.columns)
     assert [r.text for r in rows if r.doc_id == 3] == [None] and [r.text for r in rows if r.doc_id == 4] == [" \n \n \n "]
-    # a null doc_id sorts as 0, before 1: the paragraph stays there
+    # a null doc_id sorts as 0, before 1: the paragraph stays there, and its copies are later occurrences
     assert [r.text for r in rows if r.doc_id is None and r.text is not None] == [PARAGRAPH]
     assert [r.text for r in rows if r.doc_id == 9] == ["more"] and sorted(r.text for r in rows if r.doc_id == 1) == ["", "", "other text of the same id"]
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_copies_and_blanks(spark):
+    lines = "alpha line\nbeta line\ngamma line"
+    blank = "\r\n\r\n \t\r\n\r"
+    docs = spark.createDataFrame([(1, lines, "a"), (1, lines, "b"), (1, lines, "c"), (2, blank, "d"), (3, blank, "e"), (2, blank, "f")], "doc_id long, text string, _note string")
+    rows = line_dedup.dedup_lines(docs).collect()
+    assert sorted(r.text for r in rows if r.doc_id == 1) == ["", "", lines]
+    assert [r.text for r in rows if r.doc_id > 1] == [blank] * 3
+
+
 def test_suffix_dedup(odd, none):
     rows = suffix_dedup.dedup_suffixes(odd).collect()
     assert len(rows) == len(ROWS)

@@ -28,7 +28,6 @@ def token_ids(texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(encoding.default_tokenizer())
-    whole.encode_special_tokens = True
     return {d: whole.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
 
 
@@ -116,8 +115,9 @@ def test_op3_bit_packing(width):
 
 
 def test_encoder_equals_the_library():
-    odd = ["", " ", "a  b", "a   b\n\n c", "a\nb", "a.\nB", "don't, can't. ,'s “q” a—b, --x ..y \n z\n", "ü, é. ,ü (a) [b]{c}<d>|e", "a1,b 2.c", "\u00a0 x", "x \u00a0y", "\u00a0 \u00a0y", "it's <|endoftext|> ok", "日本 語 x", "é\x85 b", "a,\x00b", "x" * 3000, "🙂 🙂🙂 x"]
+    odd = ["", " ", "a  b", "a   b\n\n c", "a\nb", "a.\nB", "don't, can't. ,'s “q” a—b, --x ..y \n z\n", "ü, é. ,ü (a) [b]{c}<d>|e", "a1,b 2.c", "\u00a0 x", "x \u00a0y", "\u00a0 \u00a0y", "it's <|endoftext|> ok", "<|endoftext|>", "<|endoftext|> a", "b <|endoftext|>", "c<|endoftext|><|endoftext|>d e", "<|endoftext", "日本 語 x", "é\x85 b", "a,\x00b", "x" * 3000, "🙂 🙂🙂 x"]
     encode = encoding.Encoder(encoding.default_tokenizer(), cache_words=3)
+    assert encode.whole.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
     raw = [t.encode() for t in odd]
     for _ in range(2):
         ids, n = encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
@@ -280,3 +280,34 @@ def test_op10_cap_reshares(spark):
     got = {r.source: (r.source_size, r.target) for r in mixing.taken_words(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     # weights 1, 2, 3 of 333 words: a gets 55.5, b 111, null stops at 9; its excess goes to a and b by weight, a stops at 90
     assert got["a"] == (30, 90.0) and got[None] == (3, 9.0) and abs(got["b"][1] - 234) < 1e-9
+
+
+def test_op3_op5_added_tokens_as_the_library(spark):
+    """A text that holds an added token's string gives that token, wherever it stands."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(encoding.default_tokenizer())
+    texts = ["<|endoftext|>", "x <|endoftext|> y", "plain words", "<|endoftext|> at the start", "at the end <|endoftext|>", "twice <|endoftext|><|endoftext|> here", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = {d: whole.encode(t, add_special_tokens=False).ids for d, t in enumerate(texts)}
+    assert 50256 in wanted[1]
+    manifest = token_files.write_token_files(frame, encoding.default_tokenizer(), token_files.token_folder(spark))
+    assert {r.doc_id: r.ids for r in token_files.read_token_files(manifest).collect()} == {d: [*ids, 0] for d, ids in wanted.items()}
+    pieces = defaultdict(list)
+    for r in sorted(packing.pack_documents(frame, encoding.default_tokenizer()).collect(), key=lambda r: r.start):
+        pieces[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert pieces == {d: [*ids, 1] for d, ids in wanted.items()}
+
+
+def test_op3_paths_without_a_scheme_are_refused_on_executors(spark):
+    assert token_files.qualified(spark, "/tmp/x").startswith("file:/")
+    with pytest.raises(ValueError, match="no scheme"):
+        token_files.file_system("/user/x/shard.idpack")
+
+
+def test_op3_repeated_doc_ids_keep_all_rows(spark):
+    frame = spark.createDataFrame([(7, f"text {i % 40}") for i in range(400)], "doc_id long, text string")
+    manifest = token_files.write_token_files(frame, encoding.default_tokenizer(), token_files.token_folder(spark))
+    rows = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert len(rows) == 400 and {r.doc_id for r in rows} == {7}
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))

@@ -49,7 +49,7 @@ def test_lines(outputs):
 
 def test_one_of_each_group_stays(outputs):
     texts = {r["doc_id"]: r["text"] for r in outputs[2]}
-    _, groups = near_groups(texts)
+    _, groups = near_groups(texts, 80)
     assert {r["doc_id"] for r in outputs[3]} == {d for d in texts if groups.find(d) == d}
 
 
@@ -65,7 +65,6 @@ def test_packed(outputs):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(default_tokenizer())
-    whole.encode_special_tokens = True
     wanted = Counter(tuple([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in outputs[4])
     assert sum(len(k) * n for k, n in wanted.items()) == sum(r["length"] for r in outputs[5])
     fill = Counter()
