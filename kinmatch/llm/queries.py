@@ -92,7 +92,7 @@ SELECT page_id, host, path, COALESCE(site, CASE WHEN word <> '' THEN 'word:' ||
 FROM worded
 """
 
-OP6_SQL = """
+OP6_SQL = r"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos, len(l) AS n FROM split),
 triples AS (
@@ -100,7 +100,7 @@ triples AS (
   WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ranked AS (
   SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS k FROM triples
-  WHERE pos + 2 < n AND trim(a || b || c) <> ''),
+  WHERE pos + 2 < n AND regexp_matches(a || b || c, '[^\x20\x09-\x0D]')),
 gone AS (SELECT DISTINCT doc_id, pos + d AS pos FROM ranked, (VALUES (0), (1), (2)) v(d) WHERE k > 1),
 kept AS (
   SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
