@@ -1,15 +1,16 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Training takes a bounded sample of labelled documents (``training_rows``) and has two steps. (1) Over all of them, n-grams (hashed into ``2 ** bits`` bins) are counted by class in
-parallel; each task sends its non-empty bins, summed by Spark. The log-count ratio of a bin is
-r = log((a + toxic) / (sum of those)) - log((a + clean) / (sum of those)); the ``features`` bins that tell most (|r| times
-the root of their count) are kept. (2) A logistic regression on x = r * [the document has the n-gram] is fitted on a sample of at
-most ``sample_docs`` of them (those of the smallest hashes). The model is two arrays of
-fixed size, so broadcasting it doesn't grow with the data.
+Training takes a bounded sample of labelled documents (``training_rows``; ``SAMPLE`` documents, drawn by class) and has two steps.
+(1) N-grams, hashed into ``2 ** bits`` bins, are counted by class in parallel (a document counts once for each bin it has); each task
+sends its non-empty bins, summed by Spark. The log-count ratio of a bin is
+r = log((a + toxic) / (sum of those)) - log((a + clean) / (sum of those)). Bins whose ratio is at least ``least_z`` standard errors
+from 0, or half as many as the best bin's if that is less, are features. (2) A logistic regression on x = r * [the document has the n-gram] is fitted on the same documents. The model is
+two arrays of fixed size, so broadcasting it doesn't grow with the data.
 
 Results for odd input: empty or null text scores by the intercept alone; documents without a label don't train; repeated rows score
-each; without any labelled document of either class every score is the smoothed base rate; an empty table gives no rows; other
-columns pass through, and clashing ones are replaced.
+each; unless both classes are labelled nothing can be told apart, and every score is the smoothed base rate
+(toxic + 0.5) / (labelled + 2), which is 0.25 without any label (``both_classes`` of the model is False then); an empty table gives no
+rows; other columns pass through, and clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -23,19 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmatch.llm.common import slices, written
+from kinmatch.llm.common import cut, slices, written
 
 MULTIPLIER = np.uint32(0x9E3779B1)
+#: The most labelled documents that train; the bound on what one model takes.
+SAMPLE = 10_000
 
 
 @dataclass(frozen=True)
 class Settings:
     orders: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
-    features: int = 1 << 13
-    least_count: int = 4
     smoothing: float = 1.0
-    sample_docs: int = 8_000
+    least_z: float = 3.0
     ridge: float = 0.1
     steps: int = 240
 
@@ -48,6 +49,7 @@ class Model:
     slot: np.ndarray
     weight: np.ndarray
     intercept: float
+    both_classes: bool = True
 
 
 def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,41 +79,48 @@ def grams(points: np.ndarray, at: np.ndarray, order: int, bits: int) -> tuple[np
     return where, (h[where] >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def active(points: np.ndarray, at: np.ndarray, slot: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs, each once."""
-    keys = []
+def present(points: np.ndarray, at: np.ndarray, s: Settings, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bin) pairs, each once; with slot (document, feature) pairs."""
+    keys = [np.zeros(0, np.int64)]
     for order in s.orders:
-        where, bins = grams(points, at, order, s.bits)
-        found = slot[bins]
-        hit = found >= 0
-        doc = np.searchsorted(at, where[hit], "right") - 1
-        keys.append(doc * s.features + found[hit])
-    pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return pairs // s.features, pairs % s.features
+        where, found = grams(points, at, order, s.bits)
+        if slot is not None:
+            found = slot[found]
+            hit = found >= 0
+            where, found = where[hit], found[hit]
+        keys.append(((np.searchsorted(at, where, "right") - 1) << s.bits) + found)
+    pairs = np.unique(np.concatenate(keys))
+    return pairs >> s.bits, pairs & ((1 << s.bits) - 1)
+
+
+def log_count_ratios(clean: np.ndarray, bad: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The ratio of each bin from its documents by class, and how many standard errors it is from 0."""
+    clean, bad = clean + s.smoothing, bad + s.smoothing
+    ratio = np.log(bad / bad.sum()) - np.log(clean / clean.sum())
+    return ratio, np.abs(ratio) / np.sqrt(1 / clean + 1 / bad)
 
 
 def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, features: int, ridge: float, steps: int) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on the ridge-penalised logistic loss of a sparse matrix.
 
-    Both classes weigh the same together (the rare one's rows at most 16 times as much), so a rare class isn't scored too low.
+    Both classes weigh the same together, so a rare class isn't scored too low.
     """
     n = len(y)
-    weight = np.where(y == 1, np.clip((n - y.sum()) / max(y.sum(), 1), 1, 16), 1.0)
+    weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
     w, b = np.zeros(features), 0.0
-    # the largest eigenvalue, by power iteration, gives the step
-    v = np.ones(features)
+    # the largest eigenvalue of the weighted matrix, by power iteration, gives the step
+    v, norm = np.ones(features), 0.0
     for _ in range(12):
-        u = np.bincount(columns, values * np.bincount(rows, values * v[columns], n)[rows], features)
-        norm = np.linalg.norm(u)
+        u = np.bincount(columns, values * (weight * np.bincount(rows, values * v[columns], n))[rows], features)
+        norm = np.linalg.norm(u) / max(np.linalg.norm(v), 1e-300)
         if not norm:
             break
-        v = u / norm
-    size = 1.0 / (0.25 * weight.max(initial=1.0) * ((norm if len(rows) else 0.0) + n) + ridge)
+        v = u / np.linalg.norm(u)
+    size = 1.0 / (0.25 * (1.1 * norm + weight.sum()) + ridge)
     pw, pb = w, b
     for t in range(steps):
         ew, eb = w + t / (t + 3) * (w - pw), b + t / (t + 3) * (b - pb)
-        g = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * ew[columns], n) + eb, -40, 40))) - y
-        g *= weight
+        g = weight * (1 / (1 + np.exp(-np.clip(np.bincount(rows, values * ew[columns], n) + eb, -40, 40))) - y)
         pw, pb = w, b
         w = ew - size * (np.bincount(columns, values * g[rows], features) + ridge * ew)
         b = eb - size * g.sum()
@@ -119,53 +128,50 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: n
 
 
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
-    """labelled: doc_id, text, toxic (0 or 1; others are left out)."""
+    """labelled: doc_id, text, toxic (0 or 1; others are left out); at most as many rows as one driver can take (``training_rows``)."""
     s = settings
     rows = written(labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "training")
     bins = 1 << s.bits
+    classes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(classes) < 2:
+        rate = (classes.get(1, 0) + 0.5) / (sum(classes.values()) + 2)
+        return Model(s, np.full(bins, -1, np.int32), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))), False)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, bins), np.int64)
         for batch in batches:
             for part, data, at in slices(batch, "text", 1 << 20):
-                points, own = characters(data, at)
-                toxic = np.asarray(part.column("toxic"), np.int64)
-                for order in s.orders:
-                    where, found = grams(points, own, order, s.bits)
-                    bad = toxic[np.searchsorted(own, where, "right") - 1] == 1
-                    sums[1] += np.bincount(found[bad], minlength=bins)
-                    sums[0] += np.bincount(found[~bad], minlength=bins)
+                doc, found = present(*characters(data, at), s)
+                bad = np.asarray(part.column("toxic"), np.int64)[doc] == 1
+                sums[1] += np.bincount(found[bad], minlength=bins)
+                sums[0] += np.bincount(found[~bad], minlength=bins)
         held = np.flatnonzero(sums.any(0))
-        yield pa.record_batch({"bin": pa.array(held, pa.int32()), "clean": pa.array(sums[0][held]), "bad": pa.array(sums[1][held])})
+        yield pa.record_batch({"bin": pa.array(held, pa.int32()), "clean": pa.array(sums[0][held], pa.int32()), "bad": pa.array(sums[1][held], pa.int32())})
 
     # at most 2 ** bits rows, whatever the data
-    total = rows.mapInArrow(count, "bin int, clean long, bad long").groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where(f"clean + bad >= {s.least_count}").toArrow()
-    held, clean, bad = (np.asarray(total.column(c)) for c in ("bin", "clean", "bad"))
-    order = np.argsort(held)
-    held, clean, bad = held[order], clean[order] + s.smoothing, bad[order] + s.smoothing
-    ratio = np.log(bad / bad.sum()) - np.log(clean / clean.sum()) if len(held) else np.zeros(0)
-    best = np.argsort(-np.abs(ratio) * np.sqrt(clean + bad), kind="stable")[: s.features]
+    total = rows.mapInArrow(count, "bin int, clean int, bad int").groupBy("bin").agg(F.sum("clean").cast("int").alias("clean"), F.sum("bad").cast("int").alias("bad")).toArrow()
+    sums = np.zeros((2, bins))
+    held = np.asarray(total.column("bin"))
+    sums[0][held], sums[1][held] = np.asarray(total.column("clean")), np.asarray(total.column("bad"))
+    held = np.sort(held)
+    ratio, z = log_count_ratios(sums[0][held], sums[1][held], s)
+    told = z >= min(s.least_z, z.max(initial=0.0) / 2)
+    held, ratio = held[told], ratio[told]
     slot = np.full(bins, -1, np.int32)
-    slot[held[best]] = np.arange(len(best))
-    ratio = np.concatenate([ratio[best], np.zeros(s.features - len(best))])
+    slot[held] = np.arange(len(held))
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in slices(batch, "text", 1 << 20):
-                points, own = characters(data, at)
-                doc, feature = active(points, own, slot, s)
+                doc, feature = present(*characters(data, at), s, slot)
                 cuts = np.searchsorted(doc, np.arange(len(at)))
                 yield pa.record_batch({"h": part.column("h"), "toxic": part.column("toxic"), "feature": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feature, pa.int32()))})
 
-    hashed = rows.withColumn("h", F.xxhash64("doc_id", F.lit(7)))
-    limit = hashed.select("h").orderBy("h").limit(s.sample_docs).agg(F.max("h")).first()[0]
-    chosen = hashed.where(F.col("h") <= F.lit(limit)).select("h", "toxic", "text")
-    got = chosen.mapInArrow(sample, "h long, toxic int, feature array<int>").toArrow().sort_by("h")
+    got = rows.select(F.xxhash64("doc_id", "text").alias("h"), "toxic", "text").mapInArrow(features, "h long, toxic int, feature array<int>").toArrow().sort_by([("h", "ascending"), ("toxic", "ascending")])
     y = np.asarray(got.column("toxic"), np.float64)
-    lists = got.column("feature").combine_chunks() if len(y) else pa.array([], pa.list_(pa.int32()))
-    columns = np.asarray(lists.flatten(), np.int64)
-    sizes = np.diff(np.asarray(lists.offsets)) if len(y) else np.zeros(0, np.int64)
-    w, b = fit_logistic(np.repeat(np.arange(len(y)), sizes), columns, ratio[columns], y, s.features, s.ridge, s.steps)
+    lists = got.column("feature").combine_chunks()
+    columns, sizes = np.asarray(lists.flatten(), np.int64), np.diff(np.asarray(lists.offsets))
+    w, b = fit_logistic(np.repeat(np.arange(len(y)), sizes), columns, ratio[columns], y, len(held), s.ridge, s.steps)
     return Model(s, slot, (w * ratio).astype(np.float32), b)
 
 
@@ -179,8 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in batches:
             for part, data, at in slices(batch, "text", 1 << 20):
-                points, own = characters(data, at)
-                doc, feature = active(points, own, m.slot, m.settings)
+                doc, feature = present(*characters(data, at), m.settings, m.slot)
                 p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, m.weight[feature], len(at) - 1) + m.intercept, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
@@ -192,12 +197,14 @@ def is_held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
-    """At most ``most`` labelled documents outside the held-out fold, those of the smallest hashes of doc_id.
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """At most ``most`` labelled documents outside the held-out fold: half of them of either class, or more of one if the other has fewer.
 
-    The sample is bounded by that parameter, so its ids are broadcast and no text moves to meet its label. A doc_id labelled more
-    than once trains with its largest label.
+    Within a class those of the smallest hashes of doc_id. The sample is bounded by that parameter, so its ids are broadcast and no text
+    moves to meet its label. A doc_id labelled more than once trains with its largest label.
     """
     fit = labels.where("toxic in (0, 1) and doc_id is not null").where(~is_held_out())
-    marks = fit.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    marks = cut(fit.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    sizes = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    drawn = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(most // 2, most - sizes.get(1 - c, 0))) for c in (0, 1)]
+    return docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")

@@ -103,7 +103,7 @@ def test_toxicity(spark, odd, none):
     assert vile.predicted == 1
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     blank = toxicity.train(toxicity.training_rows(odd, labels))
-    assert all(r.predicted in (0, 1) for r in toxicity.score(odd, blank).collect())
+    assert [(r.score, r.predicted) for r in toxicity.score(odd, blank).collect()] == [(0.25, 0)] * len(ROWS)
 
 
 def test_toxicity_labels(spark, odd):
@@ -162,6 +162,18 @@ def test_ann(vectors):
     assert ann.nearest(vectors.where("vec_id in (3, 4)"), F.lit(True)).count() == 0
 
 
+def test_pipeline_keeps_its_documents_without_labels(spark, odd, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path)).count() == len(ROWS)
+
+
+def test_pipeline_keeps_its_documents_with_toxic_labels_only(spark, odd, tmp_path):
+    spark.createDataFrame([(i, 0, 1) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path)).count() == len(ROWS)
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
 def test_stages_take_odd_tables(spark, odd, none, sf_dir, name, stage):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
