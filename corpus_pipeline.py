@@ -14,9 +14,14 @@ from kinmatch.llm.encoding import default_tokenizer
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier, trained on the labelled ones here, doesn't call toxic."""
+    """Keeps the documents that the classifier, trained on the labelled ones here, doesn't call toxic.
+
+    Unless both classes are labelled, nothing can be told apart and every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.training_rows(docs, labels))
+    if not model.both_classes:
+        return docs
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
