@@ -33,7 +33,9 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_rules.judge_urls(pages, url_rules.default_rules()).select("page_id", "host", "path", "rule", "verdict")
+    judged = url_rules.judge_urls(pages, url_rules.default_rules())
+    site = F.col("rule").isin(*(spec for _, spec in url_rules.SITE_RULES))
+    return judged.select("page_id", "host", "path", F.when(site, F.col("rule")).alias("rule"), "verdict", F.when(~site, F.col("rule")).alias("pattern"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,26 +72,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann, op2_near_dedup, op3_token_files, op4_url_rules, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_toxicity, op9_cover_tree, op10_mixing)}
 
-WORDS = "|".join(url_rules.BLOCKED_WORDS)
+NAMES = {name: ", ".join(f"'{w}'" for w in words) for name, words in (("blocked", url_rules.BLOCKED_WORDS), ("paired", url_rules.PAIRED), ("companions", url_rules.COMPANIONS))}
 
 OP4_SQL = f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 parts AS (
-  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT row_number() OVER () AS row, page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS site FROM parts),
-worded AS (
-  SELECT *, lower(regexp_extract(host || '|' || path, '(?i)(?:^|[^A-Za-z0-9])({WORDS})(?:[^A-Za-z0-9]|$)', 1)) AS word FROM ruled)
-SELECT page_id, host, path, COALESCE(site, CASE WHEN word <> '' THEN 'word:' || word END) AS rule,
-       CASE WHEN site IS NULL THEN CASE WHEN word <> '' THEN 'block' ELSE 'allow' END
-            WHEN site IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
-FROM worded
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS site,
+    regexp_extract_all(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+|[^a-z0-9]+') AS l FROM parts),
+tokens AS (SELECT row, unnest(l) AS a, unnest(list_append(l[2:], NULL)) AS sep, unnest(list_append(list_append(l[3:], NULL), NULL)) AS b FROM ruled WHERE site IS NULL),
+fits AS (
+  SELECT row, 'word:' || a AS name FROM tokens WHERE a IN ({NAMES["blocked"]})
+  UNION ALL
+  SELECT row, 'pair:' || a || '-' || b FROM tokens
+  WHERE sep IN ('-', '_', '.') AND (a IN ({NAMES["paired"]}) AND b IN ({NAMES["companions"]}) OR a IN ({NAMES["companions"]}) AND b IN ({NAMES["paired"]}))),
+won AS (SELECT row, min(name) AS pattern FROM fits GROUP BY row)
+SELECT page_id, host, path, site AS rule, pattern,
+       CASE WHEN site IN ('net/', 'example.com/de/') THEN 'block' WHEN site IS NOT NULL THEN 'allow' WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN won USING (row)
 """
 
 OP6_SQL = r"""

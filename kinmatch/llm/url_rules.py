@@ -2,11 +2,16 @@
 
 A rule is a regular expression with a verdict and a rank. Its literal tokens (runs of letters and digits that every match holds
 whole) are known, and the index files it under the one fewest rules share. A URL's own tokens fetch the candidate rules, and only
-those run their expressions; the best rank wins. The index is a literal map in the plan, so judging is one narrow projection
-without a shuffle. It is sent with the plan; ``MOST_RULES`` bounds its size, and beyond it candidates come from a join.
+those run their expressions; the best rank wins, and of equal ranks the smaller name. Judging is one Arrow UDF over host and path:
+no shuffle, one way for any number of rules, each worker holding the index (its size is the rule list's, not the data's) and
+compiling a rule's expression when a URL first fetches it.
 
-Results for odd input: a null URL or one without ``://`` has empty host and path and fits no rule; repeated rows are judged each;
-an empty table gives no rows; other columns pass through, and those named like a result column are replaced.
+The default rules are the site rules, words that block alone, and pairs of words (``PAIRED`` with ``COMPANIONS``, in either order)
+that block next to each other. Site rules go before words.
+
+Results for odd input: a null URL or one without ``://`` has empty host and path and fits no rule; letters beyond ASCII are never part
+of a token and have no case; repeated rows are judged each; an empty table gives no rows; other columns pass through, and those named
+like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -15,16 +20,16 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RULES = 2000
-CANDIDATE = "array<struct<rank:int,name:string,verdict:string,pattern:string>>"
+TOKEN = re.compile(r"[A-Za-z0-9]+")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """The larger rank wins; ties go to the smaller name. tokens: literal tokens that every fitting ``host|path`` has whole."""
+    """The larger rank wins; ties go to the smaller name. tokens: literal tokens that every fitting host and path have whole."""
 
     name: str
     verdict: str
@@ -34,7 +39,7 @@ class Rule:
 
 
 def tokens_of(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
+    return [t.lower() for t in TOKEN.findall(text)]
 
 
 def site_rule(verdict: str, spec: str) -> Rule:
@@ -43,16 +48,26 @@ def site_rule(verdict: str, spec: str) -> Rule:
     path = slash + rest
     # the last token of the path may go on in the URL, unless the path ends in another character
     whole = tokens_of(path if not path or not path[-1].isalnum() else re.sub(r"[A-Za-z0-9]+$", "", path))
-    return Rule(spec, verdict, rf"^(?:[^|]*\.)?{re.escape(host.lower())}\|{re.escape(path)}", (*tokens_of(host), *whole), len(spec))
+    return Rule(spec, verdict, rf"^(?:[^/]*\.)?(?-i:{re.escape(host.lower())}{re.escape(path)})", (*tokens_of(host), *whole), len(spec))
 
 
 def word_rule(verdict: str, word: str) -> Rule:
     """A whole token anywhere in host or path; any site rule goes before it."""
-    return Rule(f"word:{word}", verdict, rf"(?i)(?:^|[^A-Za-z0-9]){re.escape(word)}(?:[^A-Za-z0-9]|$)", (word,), 0)
+    return Rule(f"word:{word}", verdict, rf"(?:^|[^A-Za-z0-9]){re.escape(word)}(?:[^A-Za-z0-9]|$)", (word,), 0)
+
+
+def pair_rule(verdict: str, one: str, two: str) -> Rule:
+    """Two whole tokens with one of - _ . between them."""
+    return Rule(f"pair:{one}-{two}", verdict, rf"(?:^|[^A-Za-z0-9]){re.escape(one)}[-_.]{re.escape(two)}(?:[^A-Za-z0-9]|$)", (one, two), 0)
 
 
 SITE_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 BLOCKED_WORDS = ("casino", "escort", "gambling", "malware", "phishing", "porn", "warez", "xxx")
+PAIRED = ("ads", "adult", "bets", "betting", "cams", "cheap", "coins", "crack", "credit", "dating", "deals", "drugs", "farm", "free", "keygen", "loans", "lottery", "pharmacy", "pills", "poker", "prize", "rolex", "slots", "spam", "torrent", "viagra")
+COMPANIONS = (
+    "best", "bonus", "buy", "cash", "chat", "click", "club", "deal", "direct", "download", "dump", "easy", "fast", "fun", "games", "girls", "guide", "hot", "hub", "jackpot", "land", "link", "links", "list", "live",
+    "lucky", "max", "money", "now", "offer", "online", "party", "plus", "pro", "rich", "sale", "shop", "spin", "star", "store", "top", "track", "vip", "win", "winner", "x", "xl", "zone",
+)
 
 
 def index_rules(rules: list[Rule]) -> dict[str, list[Rule]]:
@@ -66,6 +81,31 @@ def index_rules(rules: list[Rule]) -> dict[str, list[Rule]]:
     return index
 
 
+class Judge:
+    """The index, its expressions compiled when first wanted."""
+
+    def __init__(self, rules: list[Rule]):
+        self.index, self.compiled = index_rules(rules), {}
+
+    def __getstate__(self) -> dict:
+        return {"index": self.index, "compiled": {}}
+
+    def candidates(self, site: str) -> list[Rule]:
+        return [r for t in set(tokens_of(site)) for r in self.index.get(t, ())]
+
+    def best(self, site: str) -> Rule | None:
+        won = None
+        for r in self.candidates(site):
+            if won is not None and (-won.rank, won.name) <= (-r.rank, r.name):
+                continue
+            found = self.compiled.get(r.name)
+            if found is None:
+                found = self.compiled[r.name] = re.compile(r.pattern, re.IGNORECASE | re.ASCII)
+            if found.search(site):
+                won = r
+        return won
+
+
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
     rest = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://(.*)$", 1)
     host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
@@ -75,30 +115,22 @@ def host_and_path(url: str = "url") -> tuple[Column, Column]:
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule (null: none fits) and verdict."""
+    """``pages`` with host, path, rule (the name of the rule that decides; null: none fits) and verdict."""
     host, path = host_and_path(url)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    own = Judge(rules)
+
+    @F.pandas_udf("name string, verdict string")
+    def decide(sites: pd.Series) -> pd.DataFrame:
+        won = [own.best(s) for s in sites]
+        return pd.DataFrame({"name": [r.name if r else None for r in won], "verdict": [r.verdict if r else default for r in won]}, dtype=object)
+
+    # a host has no slash and a path begins with one, so both together are told apart
     parts = pages.select(*kept, host.alias("host"), path.alias("path"))
-    site = F.concat_ws("|", "host", "path")
-    tokens = F.array_distinct(F.split(F.lower(site), "[^a-z0-9]+"))
-    index = index_rules(rules)
-    entry = lambda r: F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
-    none = F.array().cast(CANDIDATE)
-    best = lambda fits: F.array_sort(fits, lambda a, b: F.when(a["rank"] != b["rank"], F.when(a["rank"] > b["rank"], -1).otherwise(1)).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-    if len(rules) <= MOST_RULES:
-        known = F.create_map(*[x for t, own in sorted(index.items()) for x in (F.lit(t), F.array(*map(entry, own)))]) if index else None
-        found = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(known, t), none))) if index else none
-        fits = F.filter(found, lambda r: F.call_function("rlike", site, r["pattern"]))
-        won = F.get(best(fits), 0)
-        return parts.withColumn("_won", won).select(*kept, "host", "path", F.col("_won.name").alias("rule"), F.coalesce(F.col("_won.verdict"), F.lit(default)).alias("verdict"))
-    spark = pages.sparkSession
-    filed = spark.createDataFrame([(t, r.rank, r.name, r.verdict, r.pattern) for t, own in index.items() for r in own], "token string, rank int, name string, verdict string, pattern string")
-    sites = parts.select(site.alias("_site")).distinct()
-    asked = sites.select("_site", F.explode(F.array_distinct(F.split(F.lower("_site"), "[^a-z0-9]+"))).alias("token"))
-    fits = asked.join(filed, "token").where("rlike(_site, pattern)")
-    won = fits.groupBy("_site").agg(F.min_by(F.struct("name", "verdict"), F.struct(-F.col("rank"), "name")).alias("_won"))
-    return parts.withColumn("_site", site).join(won, "_site", "left").select(*kept, "host", "path", F.col("_won.name").alias("rule"), F.coalesce(F.col("_won.verdict"), F.lit(default)).alias("verdict"))
+    judged = parts.withColumn("_won", decide(F.concat("host", "path")))
+    return judged.select(*kept, "host", "path", F.col("_won.name").alias("rule"), F.col("_won.verdict").alias("verdict"))
 
 
 def default_rules() -> list[Rule]:
-    return [*(site_rule(v, s) for v, s in SITE_RULES), *(word_rule("block", w) for w in BLOCKED_WORDS)]
+    pairs = [(a, b) for a in PAIRED for b in COMPANIONS]
+    return [*(site_rule(v, s) for v, s in SITE_RULES), *(word_rule("block", w) for w in BLOCKED_WORDS), *(pair_rule("block", *p) for a, b in pairs for p in ((a, b), (b, a)))]
