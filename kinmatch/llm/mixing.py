@@ -6,6 +6,9 @@ slots are ranked within their source, and rank r takes block r modulo the source
 A source's last block is cut at its target, so it takes exactly its target, rounded. Ranks that the points leave out (a number that
 grows with the logarithm of the slots) follow at the schedule's end, and surplus slots are dropped.
 
+The schedule decides when a document comes: the mix is written in the order of slots, so any stretch of it holds the sources near
+their weights. ``first_slot`` is the slot that first takes a word of a document.
+
 Prefix sums (words before a document, slots before a slot) are made in two levels, within hash buckets or runs of slots and over
 the sums of those, so no source is ever in one task.
 
@@ -25,8 +28,8 @@ from pyspark.sql.window import Window as W
 from kinmatch.llm.common import WORD, cut, with_identity
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Rows of one hash bucket (more, once there are as many buckets as may be), slots of one run, and cells of the grid that finds a point's source.
-BUCKET_ROWS, MOST_BUCKETS, RUN_SLOTS, CELLS = 500, 1 << 16, 1 << 16, 4096
+#: Slots of one run, and cells of the grid that finds a point's source.
+RUN_SLOTS, CELLS = 1 << 16, 4096
 MOST_EPOCHS = 3
 
 
@@ -65,7 +68,7 @@ def source_targets(sized: DataFrame, block_words: int) -> DataFrame:
 
 def placed(sized: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     """sized with source_no and pos, the words of its source before it in shuffled order."""
-    buckets = min(MOST_BUCKETS, max(1, rows // BUCKET_ROWS))
+    buckets = math.isqrt(rows) + 1  # buckets of a source and rows of a bucket both grow with the root
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("long")
     # every source's rows meet its one row of the (bounded) source table by a null-safe equi-join
     named = sized.join(sources.select("source_no", F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("bucket", bucket)
@@ -130,22 +133,23 @@ def mix(docs: DataFrame, block_words: int = 8192, seed: int = 1) -> tuple[DataFr
 
 
 def taken_words(docs: DataFrame, block_words: int = 8192, seed: int = 1) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
+    """One row per document: doc_id, source, size, source_size, target, taken, first_slot (null if nothing is taken)."""
     where, pieces = mix(docs, block_words, seed)
-    taken = pieces.groupBy("source_no", F.col("pos").alias("_pos")).agg(F.sum("n_words").alias("_taken"))
+    taken = pieces.groupBy("source_no", F.col("pos").alias("_pos")).agg(F.sum("n_words").alias("_taken"), F.min("slot").alias("first_slot"))
     rows = where.withColumn("_pos", F.when(F.col("size") > 0, F.col("pos")))
-    return rows.join(taken, ["source_no", "_pos"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0).cast("long")).alias("taken"))
+    return rows.join(taken, ["source_no", "_pos"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0).cast("long")).alias("taken"), "first_slot")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 8192, seed: int = 1) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each epoch that takes a document.
+    """The mix itself, with the columns of docs: a row for each epoch that takes a document, in the order of its first slot there.
 
-    The document at a source's target is cut after the last word taken (n_chars, if there, follows the text).
+    Rows are dealt out by ranges of slots and sorted within, so written files hold the schedule's order, and a document's epochs lie
+    apart. The document at a source's target is cut after the last word taken (n_chars, if there, follows the text).
     """
     columns = docs.columns
     where, pieces = mix(docs, block_words, seed)
-    epochs = pieces.groupBy("source_no", "pos", "epoch").agg(F.sum("n_words").alias("_words"))
-    epochs = epochs.join(where.where("size > 0").select("source_no", "pos", "_k", "_v", F.col("size").alias("_size")), ["source_no", "pos"]).select("_k", "_v", "_words", "_size")
+    epochs = pieces.groupBy("source_no", "pos", "epoch").agg(F.sum("n_words").alias("_words"), F.min("slot").alias("_slot"))
+    epochs = epochs.join(where.where("size > 0").select("source_no", "pos", "_k", "_v", F.col("size").alias("_size")), ["source_no", "pos"]).select("_k", "_v", "_words", "_size", "_slot", F.col("pos").alias("_pos"))
     texts = identified(docs)
     if _repeats(where):
         texts = texts.dropDuplicates(["_k", "_v"])
@@ -153,7 +157,8 @@ def mixed_documents(docs: DataFrame, block_words: int = 8192, seed: int = 1) ->
     out = texts.join(epochs, ["_k", "_v"]).withColumn("text", F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    order = ("_slot", "_pos", "_k", "_v")
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
 
 
 def _repeats(where: DataFrame) -> bool:

@@ -67,7 +67,7 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.taken_words(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.taken_words(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann, op2_near_dedup, op3_token_files, op4_url_rules, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_toxicity, op9_cover_tree, op10_mixing)}
@@ -116,7 +116,9 @@ SELECT s.doc_id, CAST(COALESCE(len(l), 0) AS INTEGER) AS n_lines, CAST(COALESCE(
 FROM split s LEFT JOIN kept k USING (doc_id)
 """
 
-OP10_SQL = r"""
+BLOCK = 8192
+
+OP10_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('1:' || doc_id) AS key FROM documents),
 per AS (
@@ -130,13 +132,30 @@ capped AS (SELECT *, (total - caps_before) / w_left * w > cap AS stopped FROM sh
 targets AS (
   SELECT source, source_size, CASE WHEN stopped THEN cap ELSE least(cap, w * (total - COALESCE(sum(cap) FILTER (WHERE stopped) OVER (), 0)) / nullif(sum(w) FILTER (WHERE NOT stopped) OVER (), 0)) END AS target
   FROM capped),
+worded AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_no, least(CAST(round(target) AS BIGINT), 3 * source_size) AS words FROM targets),
+slotted AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * ceil(source_size / {BLOCK}) + ceil(words % source_size / {BLOCK}) END AS slots FROM worded),
+sched AS (SELECT *, sum(slots) OVER (ORDER BY source_no) AS slots_to, sum(slots) OVER () AS n FROM slotted),
+points AS (
+  SELECT i, ((i // 1048576) * {(mixing.GOLDEN * (1 << 20)) % 1.0!r}e0 + (i % 1048576 + 1) * {mixing.GOLDEN!r}e0) % 1.0 * n AS x
+  FROM (SELECT n, unnest(range(CAST(n AS BIGINT))) AS i FROM (SELECT max(n) AS n FROM sched))),
+dealt AS (
+  SELECT source_no, slots, i AS slot, row_number() OVER (PARTITION BY source_no ORDER BY i) - 1 AS rank
+  FROM points JOIN sched ON x >= slots_to - slots AND x < slots_to),
+late AS (
+  SELECT source_no, n, unnest(range(COALESCE(got, 0), CAST(slots AS BIGINT))) AS rank
+  FROM sched LEFT JOIN (SELECT source_no, count(*) AS got FROM dealt GROUP BY source_no) USING (source_no)),
+ranked AS (
+  SELECT source_no, rank, slot FROM dealt WHERE rank < slots
+  UNION ALL SELECT source_no, rank, CAST(n AS BIGINT) + rank * 1048576 + source_no FROM late),
 placed AS (
-  SELECT s.*, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 3 * t.source_size) AS words,
-         CAST(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id) - size AS BIGINT) AS pos
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
-       CASE WHEN source_size = 0 THEN 0 ELSE CAST((words // source_size) * size + greatest(0, least(size, words % source_size - pos)) AS BIGINT) END AS taken
-FROM placed
+  SELECT s.*, t.source_no, t.source_size, t.target, t.words, CAST(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id) - size AS BIGINT) AS pos
+  FROM sized s JOIN sched t ON s.source IS NOT DISTINCT FROM t.source),
+taking AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST((words // source_size) * size + greatest(0, least(size, words % source_size - pos)) AS BIGINT) END AS taken
+  FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+FROM taking LEFT JOIN ranked ON taking.source_no = ranked.source_no AND rank = pos // {BLOCK}
 """
 
 SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_mixing": OP10_SQL}

@@ -293,6 +293,25 @@ def test_op10_targets_and_schedule(spark, docs):
     assert all(abs(half[s] - target[s] / 2) <= 1500 for s in target)
 
 
+def test_op10_mix_is_written_in_slot_order(spark, docs, tmp_path):
+    """Any stretch of the written mix holds the sources near their targets, and rows lie in the order of their first slots."""
+    path = str(tmp_path / "mix")
+    mixing.mixed_documents(docs, block_words=100).write.parquet(path)
+    rows = [r for f in sorted((tmp_path / "mix").glob("part-*")) for r in spark.read.parquet(str(f)).select("doc_id", "source", "text").collect()]
+    first = {r.doc_id: r.first_slot for r in mixing.taken_words(docs, block_words=100).where("taken > 0").collect()}
+    seen = list(dict.fromkeys(r.doc_id for r in rows))
+    assert [first[d] for d in seen] == sorted(first[d] for d in seen) and set(seen) == set(first)
+    size = lambda part: Counter({s: sum(len(r.text.split()) for r in part if r.source == s) for s in {r.source for r in rows}})
+    total = size(rows)
+    words, half = 0, []
+    for r in rows:
+        if words * 2 < sum(total.values()):
+            half.append(r)
+            words += len(r.text.split())
+    got = size(half)
+    assert all(abs(got[s] / words - total[s] / sum(total.values())) < 0.1 for s in total)
+
+
 def test_op10_cap_reshares(spark):
     rows = [(i, "a" if i < 3 else "b" if i < 6 else None, "w " * (10 if i < 3 else 100 if i < 6 else 1)) for i in range(9)]
     got = {r.source: (r.source_size, r.target) for r in mixing.taken_words(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
