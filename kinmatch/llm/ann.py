@@ -2,18 +2,25 @@
 
 Codes. The largest inner product becomes the smallest angle by one more component, sqrt(M^2 - |x|^2) with M the largest norm. On a
 bounded sample, rotations are learned that make signs keep angles (iterative quantization: alternate between the signs of the rotated
-vectors and the rotation nearest to them); enough of them, from different starts, give ``bits`` bits.
+vectors and the rotation nearest to them); enough of them, from different starts, give the bits.
 
-Index and search. Vectors and queries are dealt into blocks. In a block each 16-bit substring of the codes has its buckets. A code within
-Hamming radius r of a query's differs from it by at most r div m bits in one of the m substrings (pigeonhole), so the buckets within that
-many bits of the query's substrings hold every such code. What they hold is held to r on whole codes, then ranked by the inner product of
-the floats in double precision. r is learned on the sample: it covers ``cover`` of its true neighbours' distances. A block with fewer
-than k codes within r gives its k nearest codes, so min(k, all) neighbours are always found. Memory is bounded by the block sizes; each
-query block meets each index block, and only k rows of each pair go on.
+Index. A code is cut into substrings of 16 bits; a block of codes is filed under each of them, in buckets of equal substrings. A search
+with radius r gives substring j a reach t_j with sum(t_j + 1) = r + 1. By pigeonhole a code within r of the query's is within t_j of it
+in some substring, so the buckets within reach hold every such code. Only what these buckets hold is compared on whole codes, and
+only what is within r is ranked, by the inner product of the floats in double precision.
+
+Learned layout. For each number of substrings in ``layouts`` the sample tells the radius that covers ``cover`` of its true
+neighbours, the share of codes that probing fetches and the share within the radius; the cheapest number is taken (``Layout`` tells
+these figures). Vectors with structure get long codes whose buckets are selective; for those without, no code is.
+
+Search. Index rows are dealt into blocks, queries into others; every query meets every block, and a pair's k best go on. Queries that
+find fewer than k go again with a radius half-way to all bits, so min(k, all) neighbours are always found. Memory is bounded by
+the block sizes.
 
 Results for odd input: vectors that are null, zero, of another length than most or hold null or non-finite components take no part;
-null ids are left out; rows with one id are candidates each, but never for a query of that id; an empty table gives no rows; extra
-columns aren't read.
+null ids are left out; rows with one id are candidates each, but never for a query of that id; query rows that repeat in id and vector
+are one query, and with one id but other vectors they are queries of their own, told apart by ``query_hash``; an empty table
+gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,21 +34,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinmatch.llm.common import cut
+from kinmatch.llm.common import cut, ragged
 from kinmatch.llm.vectors import common_length, matrix, usable
 
 SUBSTRING = 16
+RESULT = "query_id long, query_hash long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
 class Settings:
-    bits: int = 256
+    """layouts: numbers of substrings to choose from; index and query blocks bound what a task holds."""
+
+    layouts: tuple[int, ...] = (2, 3, 4, 6, 8, 12, 16)
     sample: int = 8192
     calibration_queries: int = 256
     cover: float = 0.97
-    rounds: int = 8
-    query_block: int = 4096
-    index_block: int = 8192
+    rounds: int = 20
+    query_block: int = 32_768
+    index_block: int = 32_768
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Substrings, radius, and on the sample the shares of codes that are probed and that are within the radius."""
+
+    substrings: int
+    radius: int
+    probed: float
+    within: float
 
 
 def augmented(x: np.ndarray, most: float) -> np.ndarray:
@@ -62,110 +82,142 @@ def learn_rotations(x: np.ndarray, bits: int, rounds: int, seed: int = 1) -> np.
 
 
 def encode(x: np.ndarray, rotations: np.ndarray) -> np.ndarray:
-    return np.packbits(x @ rotations >= 0, axis=1, bitorder="little")
+    """Codes as rows of 16-bit substrings."""
+    return np.packbits(x @ rotations >= 0, axis=1, bitorder="little").view("<u2")
+
+
+def reaches(radius: int, substrings: int) -> list[int]:
+    """How far each substring is probed: one more than these add up to one more than the radius; -1: not at all."""
+    each, more = divmod(radius + 1, substrings)
+    return [each + (j < more) - 1 for j in range(substrings)]
+
+
+class Index:
+    """A block's codes filed under each substring."""
+
+    def __init__(self, codes: np.ndarray):
+        n, m = codes.shape
+        self.wide = wide(codes)
+        self.tables = []
+        for j in range(m):
+            order = np.argsort(codes[:, j], kind="stable")
+            values, first = np.unique(codes[order, j], return_index=True)
+            self.tables.append((values, np.append(first, n), order))
+
+    def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows of all buckets within reach of a code's substrings."""
+        seen = np.zeros(len(self.wide), bool)
+        for (values, first, order), own, reach in zip(self.tables, code, reaches(radius, len(code)), strict=True):
+            near = np.flatnonzero(np.bitwise_count(values ^ own) <= reach) if reach >= 0 else np.zeros(0, np.int64)
+            seen[order[ragged(first[near], first[near + 1] - first[near])]] = True
+        return np.flatnonzero(seen)
+
+    def search(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows within the radius; whole codes are compared only where a bucket was probed."""
+        rows = self.probe(code, radius)
+        return rows[np.bitwise_count(self.wide[rows] ^ wide(code[None, :])).sum(1) <= radius]
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances between two sets of codes."""
-    a, b = a.view(np.uint64), b.view(np.uint64)
-    far = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(a.shape[1]):
-        far += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return far
+def wide(codes: np.ndarray) -> np.ndarray:
+    """Codes in words of 64 bits."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 4)))).view(np.uint64)
 
 
-def learn_radius(x: np.ndarray, most: float, rotations: np.ndarray, k: int, s: Settings) -> int:
-    """The radius that covers the true neighbours of some of the sample within the sample."""
+def learn_layout(x: np.ndarray, most: float, rotations: np.ndarray, k: int, s: Settings) -> Layout:
+    """The layout that costs least where the radius covers the true neighbours of some of the sample within the sample."""
     if len(x) < 2:
-        return s.bits
+        return Layout(min(s.layouts), min(s.layouts) * SUBSTRING, 1.0, 1.0)
     q = x[: s.calibration_queries]
     score = q @ x.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
     near = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
-    far = hamming(encode(augmented(q, 0.0), rotations), encode(augmented(x, most), rotations))
-    return int(np.quantile(np.take_along_axis(far, near, 1), s.cover, method="higher"))
-
-
-def probe(query: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarray:
-    """Which codes lie in probed buckets of any substring, for each query."""
-    m = codes.shape[1] * 8 // SUBSTRING
-    near = np.zeros((len(query), len(codes)), bool)
-    q, c = query.view(np.uint16), codes.view(np.uint16)
-    for j in range(m):
-        buckets, member = np.unique(c[:, j], return_inverse=True)
-        near |= (np.bitwise_count(q[:, j, None] ^ buckets[None, :]) <= radius // m)[:, member]
-    return near
-
-
-def search_block(q_ids: np.ndarray, q: np.ndarray, q_codes: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, radius: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of the k best of a block."""
-    for i in range(0, len(q_ids), 64):
-        far = hamming(q_codes[i : i + 64], codes)
-        within = probe(q_codes[i : i + 64], codes, radius) & (far <= radius)
-        for r in range(len(far)):
-            other = ids != q_ids[i + r]
-            found = np.flatnonzero(within[r] & other)
-            if len(found) < k:
-                rest = np.flatnonzero(other)
-                found = rest[np.argsort(far[r][rest], kind="stable")[:k]] if len(rest) > k else rest
-            score = x[found] @ q[i + r]
-            best = np.lexsort((ids[found], -score))[:k]
-            yield int(q_ids[i + r]), ids[found][best], score[best]
+    asked, held = encode(augmented(q, 0.0), rotations), encode(augmented(x, most), rotations)
+    best = None
+    for m in sorted(s.layouts):
+        parts = [np.bitwise_count(asked[:, j, None] ^ held[None, :, j]) for j in range(m)]
+        far = np.sum(parts, axis=0, dtype=np.uint16)
+        radius = int(np.quantile(np.take_along_axis(far, near, 1), s.cover, method="higher"))
+        probed = float(np.mean(np.any([p.astype(np.int16) <= t for p, t in zip(parts, reaches(radius, m), strict=True)], axis=0)))
+        within = float(np.mean(far <= radius))
+        # a look at each bucket, a whole code where probed, a vector of floats where within
+        cost = m + probed * (4 + m / 4) + within * x.shape[1] / 2
+        if best is None or cost < best[0]:
+            best = cost, Layout(m, radius, probed, within)
+    return best[1]
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, q_codes: np.ndarray, ids: np.ndarray, x: np.ndarray, index: Index, radius: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query number, ids, scores) of the k best within the radius in a block."""
+    for i in range(len(q_ids)):
+        found = index.search(q_codes[i], radius)
+        found = found[ids[found] != q_ids[i]]
+        score = x[found] @ q[i]
+        best = np.lexsort((ids[found], -score))[:k]
+        yield i, ids[found][best], score[best]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """query_id, rank (from 1), vec_id, score for the rows of vectors (vec_id, embedding) that are queries."""
+    """query_id, rank (from 1), vec_id, score, query_hash for the rows of vectors (vec_id, embedding) that are queries."""
     s, spark = settings, vectors.sparkSession
     length = common_length(vectors)
     sound = vectors.where(F.col("vec_id").isNotNull() & usable() & (F.size("embedding") == length))
-    rows = sound.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    squares = F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v)
+    kind = dict(vectors.dtypes)["embedding"]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = sound.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("x"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    squares = F.aggregate("x", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double"))
     top = rows.agg(F.count("*").alias("n"), F.count_if(F.col("query")).alias("queries"), F.max(squares).alias("most")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, query_hash long"
     if not top.n or not top.queries:
         return spark.createDataFrame([], schema)
     most = float(np.sqrt(top.most))
     sample = rows.select("x", F.xxhash64("id").alias("h")).orderBy("h").limit(s.sample).select("x").toArrow()
     x = matrix(sample.column("x"), length)
-    rotations = learn_rotations(augmented(x, most), s.bits, s.rounds)
-    radius = learn_radius(x, most, rotations, k, s)
-    query_blocks, index_blocks = -(-top.queries // s.query_block), -(-top.n // s.index_block)
+    rotations = learn_rotations(augmented(x, most), max(s.layouts) * SUBSTRING, s.rounds)
+    layout = learn_layout(x, most, rotations, k, s)
+    bits = layout.substrings * SUBSTRING
+    rotations = rotations[:, :bits]
+    # more blocks than the bound asks for, as long as they aren't small, keep all cores at work; results don't depend on them
+    index_blocks = max(-(-top.n // s.index_block), min(spark.sparkContext.defaultParallelism, -(-top.n // 4096)))
+    query_blocks = -(-top.queries // s.query_block)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = matrix(batch.column("x"), length)
-            queries = np.asarray(batch.column("query"))
-            for asked in (False, True):
-                use = np.flatnonzero(queries) if asked else np.arange(len(own))
-                got = encode(augmented(own[use], 0.0 if asked else most), rotations)
-                part = batch.take(pa.array(use))
-                yield pa.record_batch({"id": part.column("id"), "x": part.column("x"), "query": pa.array(np.full(len(use), asked)), "code": pa.array([c.tobytes() for c in got], pa.binary())})
-
-    coded = cut(rows.mapInArrow(code, "id long, x array<double>, query boolean, code binary"))
-    own_block = F.when(F.col("query"), F.pmod(F.xxhash64("id"), F.lit(query_blocks))).otherwise(F.pmod(F.xxhash64("id"), F.lit(index_blocks)))
-    others = F.when(F.col("query"), F.lit(index_blocks)).otherwise(F.lit(query_blocks))
-    dealt = coded.withColumn("own", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
-    dealt = dealt.select(F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).cast("long").alias("qb"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).cast("long").alias("ib"), "id", "x", "query", "code")
-
-    def search(key: tuple, group: pa.Table) -> pa.Table:
-        asked = np.asarray(group.column("query").combine_chunks())
-        ids = np.asarray(group.column("id"), np.int64)
-        x = matrix(group.column("x"), length)
-        codes = np.frombuffer(b"".join(group.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        q, rest = np.flatnonzero(asked), np.flatnonzero(~asked)
-        got = list(search_block(ids[q], x[q], codes[q], ids[rest], x[rest], codes[rest], radius, k)) if len(q) and len(rest) else []
-        sizes = [len(g[1]) for g in got]
-        flat = lambda i, kind: np.concatenate([g[i] for g in got]).astype(kind) if got else np.zeros(0, kind)
-        return pa.table({"query_id": pa.array(np.repeat(np.array([g[0] for g in got], np.int64), sizes)), "vec_id": pa.array(flat(1, np.int64)), "score": pa.array(flat(2, np.float64))})
-
-    found = dealt.groupBy("qb", "ib").applyInArrow(search, "query_id long, vec_id long, score double")
-    # a query row that repeats finds the same rows again, but a repeated candidate counts each time
-    repeats = coded.where("query").groupBy("id").agg(F.count("*").alias("times")).where("times > 1")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    if repeats.limit(1).count():
-        times = F.coalesce("times", F.lit(1))
-        ranked = ranked.join(repeats.withColumnRenamed("id", "query_id"), "query_id", "left").where((F.col("rank") - 1) % times == 0).withColumn("rank", F.floor((F.col("rank") - 1) / times).cast("int") + 1)
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            if batch.num_rows:
+                own, queries = matrix(batch.column("x"), length), np.asarray(batch.column("query"))
+                as_row, as_query = (encode(augmented(own, m), rotations) for m in (most, 0.0))
+                held = {"code": [c.tobytes() for c in as_row], "query_code": [c.tobytes() if asked else None for c, asked in zip(as_query, queries, strict=True)]}
+                yield pa.record_batch({"id": batch.column("id"), "x": batch.column("x"), **{name: pa.array(c, pa.binary()) for name, c in held.items()}})
+
+    coded = cut(rows.mapInArrow(code, f"id long, x {kind}, code binary, query_code binary"))
+    asked = coded.where("query_code is not null").select("id", F.xxhash64("x").alias("hash"), "x", F.col("query_code").alias("code")).dropDuplicates(["id", "hash"])
+    index = coded.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(index_blocks)).cast("int").alias("ib"), "id", F.lit(None).cast("long").alias("hash"), "x", "code")
+
+    def search(queries: DataFrame, radius: int) -> DataFrame:
+        def pair(key: tuple, group: pa.Table) -> pa.Table:
+            hashes = group.column("hash").combine_chunks()
+            is_row = np.asarray(hashes.is_null())
+            ids, x = np.asarray(group.column("id"), np.int64), matrix(group.column("x"), length)
+            codes = np.frombuffer(b"".join(group.column("code").to_pylist()), "<u2").reshape(len(ids), -1)
+            q, own = np.flatnonzero(~is_row), np.flatnonzero(is_row)
+            got = list(search_block(ids[q], x[q], codes[q], ids[own], x[own], Index(codes[own]), radius, k)) if len(q) and len(own) else []
+            at = q[np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got])]
+            flat = lambda i, kind: np.concatenate([np.zeros(0, kind), *(g[i] for g in got)]).astype(kind)
+            return pa.table({"query_id": ids[at], "query_hash": hashes.take(pa.array(at)), "vec_id": flat(1, np.int64), "score": flat(2, np.float64)})
+
+        dealt = queries.select(F.pmod(F.xxhash64("id", "hash"), F.lit(query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))).alias("ib"), "id", "hash", "x", "code")
+        return index.unionByName(dealt).groupBy("qb", "ib").applyInArrow(pair, RESULT)
+
+    order = W.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
+    radius, out = layout.radius, None
+    while True:
+        found = cut(search(asked, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("query_hash").alias("hash"))
+        done = found if radius >= bits else found.join(full.toDF("query_id", "query_hash"), ["query_id", "query_hash"], "left_semi")
+        out = done if out is None else out.unionByName(done)
+        if radius >= bits:
+            break
+        asked = cut(asked.join(full, ["id", "hash"], "left_anti"))
+        if not asked.limit(1).count():
+            break
+        radius = bits if bits - radius < 4 else (radius + bits) // 2
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_hash")

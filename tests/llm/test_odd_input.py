@@ -158,6 +158,11 @@ def test_ann(vectors):
     assert {r.query_id for r in rows} == {0, 20} and not [r for r in rows if r.query_id == r.vec_id]
     # a query never finds rows of its own id; fewer than k candidates are all found
     assert [(r["rank"], r.vec_id) for r in rows if r.query_id == 20] == [(1, 1), (2, 0), (3, 0)]
+    # id 0 has two vectors, each a query of its own: one finds 1 first, the other too, as its only near one
+    by = {}
+    for r in rows:
+        by.setdefault((r.query_id, r.query_hash), []).append((r["rank"], r.vec_id))
+    assert sorted(len(x) for q, x in by.items() if q[0] == 0) == [3, 3]
     assert ann.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(vectors.where("vec_id in (3, 4)"), F.lit(True)).count() == 0
 

@@ -50,12 +50,63 @@ def test_op1_recall_scores_and_order(spark, sf_dir):
     assert np.mean(recall) >= 0.9
 
 
-def test_op1_probing_keeps_every_code_within_the_radius():
+def test_op1_search_finds_every_code_within_the_radius():
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 256, (500, 32), dtype=np.uint8)
-    near = codes[:50] ^ np.packbits(rng.random((50, 256)) < 0.2, axis=1)
-    for radius in (16, 40, 70):
-        assert ann.probe(near, codes, radius)[ann.hamming(near, codes) <= radius].all()
+    for substrings in (2, 4, 16):
+        bits = 16 * substrings
+        codes = rng.integers(0, 1 << 16, (500, substrings), dtype=np.uint16)
+        near = codes[:50] ^ np.packbits(rng.random((50, bits)) < 0.2, axis=1).view(np.uint16)
+        far = np.bitwise_count(near[:, None, :] ^ codes[None, :, :]).sum(2)
+        index = ann.Index(codes)
+        for radius in (0, 3, bits // 5, bits // 3, bits):
+            assert sum(t + 1 for t in ann.reaches(radius, substrings)) == radius + 1
+            for q, d in zip(near, far, strict=True):
+                assert index.search(q, radius).tolist() == np.flatnonzero(d <= radius).tolist()
+                assert set(np.flatnonzero(d <= radius)) <= set(index.probe(q, radius).tolist())
+
+
+def clustered(rng, n=4000, d=48):
+    centres = rng.standard_normal((n // 80, d))
+    x = centres[rng.integers(0, len(centres), n)] + 0.15 * rng.standard_normal((n, d))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_op1_index_is_selective_where_vectors_have_structure(spark):
+    """Few codes are probed, and recall against brute force holds."""
+    x = clustered(np.random.default_rng(6))
+    wide, most = x.astype(float), float(np.linalg.norm(x, axis=1).max())
+    s = ann.Settings(sample=2000)
+    rotations = ann.learn_rotations(ann.augmented(wide[:2000], most), 256, s.rounds)
+    layout = ann.learn_layout(wide[:2000], most, rotations, 10, s)
+    assert layout.within <= layout.probed < 0.25
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0, k=10, settings=s).collect():
+        got[r.query_id].add(r.vec_id)
+    score = wide[::20] @ wide.T
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    true = np.argsort(-score, axis=1)[:, :10]
+    assert np.mean([len(got[20 * i] & set(t.tolist())) / 10 for i, t in enumerate(true)]) >= 0.9
+
+
+def test_op1_query_rows_of_one_id_keep_their_own_neighbours(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 8))
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(0, [1.0] + [0.0] * 7), (0, [-1.0] + [0.0] * 7), (0, [1.0] + [0.0] * 7)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).orderBy("query_hash", "rank").collect():
+        got[r.query_hash].append((r["rank"], r.vec_id))
+    best = lambda sign: [(i + 1, int(v) + 1) for i, v in enumerate(np.argsort(-sign * x[:, 0])[:5])]
+    assert sorted(got.values()) == sorted([best(1), best(-1)])
+
+
+def test_op1_far_queries_go_again_until_k_are_found(spark):
+    """A radius learned on a tight cluster finds nothing for an outlier; it still gets its k nearest."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([[-np.ones(16)], np.ones((400, 16)) + 0.01 * rng.standard_normal((400, 16))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(frame, F.col("vec_id") == 0, k=20).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 21))
 
 
 def test_op2_equals_brute_force(docs, texts):
