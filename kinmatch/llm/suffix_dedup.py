@@ -5,13 +5,19 @@ Equal windows have equal anchors at equal places, so windows can only match with
 windows with one anchor are one record: its bytes are the union of its windows. A record travels as two hashes, its 16-gram's
 (key) and its content's; only contents under a key with several different contents are fetched, one copy of each.
 
-The index. A shard takes records in batches. A batch's windows are put in suffix order (by their first two bytes, then by a fingerprint
-of all 200, as only equality at 200 bytes matters here), merge-scanned against every level of the index for windows of equal
-bytes, both sides being marked, and become a level of their own; while the two last levels are of a size, they merge. So each
-window is merged a number of times that grows with the logarithm of the batches. Bytes confirm every match.
+The index. A shard takes records in batches. A batch's windows are put in suffix order (the order of their bytes, to a depth of 200) in
+an array with the first eight bytes of each; neighbours with a common prefix of 200 match. The array is merge-scanned against every
+level of the index: stretches of both that agree in the first eight bytes are brought into one order, and neighbours from either
+side with a common prefix of 200 match. Then it becomes a level, and while the two last levels are of a size, they merge, in one pass
+over both. So each window is merged a number of times that grows with the logarithm of the batches. Common prefixes are found by
+bisection over prefix hashes; bytes confirm every match. The levels live as long as their shard's task; nothing is kept between runs.
 
-Hot keys: copies of one content are counted before they move. A key with more different contents than ``HOT_CONTENTS`` is dealt out
-over slices by the windows' distance from the anchor; windows at different distances never match, so nothing is lost.
+Copies. Records of equal key and content (two 64-bit hashes) are occurrences of one stretch of text and match without their bytes; one
+copy of each content goes to the index.
+
+Hot keys: copies of one content are counted before they move. A key's contents are dealt out over slices, one for every
+``SLICE_CONTENTS`` of them, by the windows' distance from the anchor, and, where there are more slices than distances, by a hash of
+the window; windows that differ in either never match, so nothing is lost and no slice grows with its key.
 
 Results for odd input: null text counts as empty and keeps its row; texts under 200 bytes lose nothing; repeated rows are occurrences
 like any others, so texts of at least 200 bytes that repeat go whole; empty tables give no rows; extra columns pass through.
@@ -30,8 +36,10 @@ from pyspark.sql import functions as F
 from kinmatch.llm.common import discard, ragged, release, slices, with_identity, written
 
 LENGTH, GRAM = 200, 16
-#: Windows of a batch, and different contents of a key beyond which it is sliced, and the slices.
-BATCH_WINDOWS, HOT_CONTENTS, SLICES = 1 << 18, 20_000, 16
+#: Windows of a batch, and different contents of a key that one slice takes.
+BATCH_WINDOWS, SLICE_CONTENTS = 1 << 18, 2_000
+#: Distances that a window's start can have from its anchor.
+DISTANCES = LENGTH - GRAM + 1
 
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTE_VALUE = np.random.default_rng(20_240_207).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,7 +106,10 @@ def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted: array of (key, content, at, n, lead, slices)) to (key, slice, content, from, n, bytes)."""
+    """Rows (text, wanted: array of (key, content, at, n, lead, parts)) to (key, slice, content, skip, n, bytes).
+
+    A slice is a range of distances from the anchor; where there are more parts than distances, a distance and a part of the hashes.
+    """
     for batch in batches:
         for rows, data, at in slices(batch, "text", 1 << 20):
             lists = rows.column("wanted")
@@ -108,25 +119,105 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             view = memoryview(np.ascontiguousarray(data))
             out: dict[str, list] = {c: [] for c in ("key", "slice", "content", "skip", "n", "bytes")}
             for w, k, c, f, m, l, p in zip(which.tolist(), key.tolist(), content.tolist(), first.tolist(), n.tolist(), lead.tolist(), parts.tolist(), strict=True):
-                begin, step = int(at[w]) + f, LENGTH // p + 1
+                begin, step, hashed = int(at[w]) + f, -(-DISTANCES // p), -(-p // DISTANCES)
                 i = 0
-                while i < m:  # windows i .. j - 1 lie in one slice of distances from the anchor
-                    s = (l - i) // step if p > 1 else 0
-                    j = min(m, l - s * step + 1) if p > 1 else m
-                    for name, x in zip(out, (k, s, c, i, j - i, bytes(view[begin + i : begin + j + LENGTH - 1])), strict=True):
+                while i < m:  # windows i .. j - 1 lie in one range of distances from the anchor
+                    s = (l - i) // step
+                    j = min(m, l - s * step + 1)
+                    own = bytes(view[begin + i : begin + j + LENGTH - 1])
+                    if hashed > 1:
+                        s = s * hashed + xxhash.xxh3_64_intdigest(own) % hashed
+                    for name, x in zip(out, (k, s, c, i, j - i, own), strict=True):
                         out[name].append(x)
                     i = j
             yield pa.record_batch({"key": pa.array(out["key"], pa.int64()), "slice": pa.array(out["slice"], pa.int32()), "content": pa.array(out["content"], pa.int64()), "skip": pa.array(out["skip"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "bytes": pa.array(out["bytes"], pa.binary())})
 
 
+class Text:
+    """Bytes that grow by batches, with the word at each place and prefix hashes, so that stretches compare without being read."""
+
+    def __init__(self):
+        self.data, self.words, self.sums, self.inverse = np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.uint64)
+        self.power = np.uint64(1)
+
+    def add(self, data: np.ndarray) -> int:
+        """Appends a batch; where it begins."""
+        base, n = len(self.data), len(data)
+        powers = np.multiply.accumulate(np.concatenate([[self.power], np.full(n, C1, np.uint64)]))
+        self.sums = np.concatenate([self.sums, self.sums[-1] + np.cumsum(BYTE_VALUE[data] * powers[:n])])
+        self.inverse = np.concatenate([self.inverse, np.multiply.accumulate(np.concatenate([self.inverse[-1:], np.full(n, np.uint64(FINGER), np.uint64)]))[1:]])
+        self.power = powers[n]
+        self.data, self.words = np.concatenate([self.data, data]), np.concatenate([self.words, words(data, little=False)])
+        return base
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the windows at x and y, LENGTH at most; equal windows are compared byte by byte."""
+        out = np.zeros(len(x), np.int64)
+        left = np.arange(len(x))
+        for depth in (0, 8, 16):  # most differ soon
+            differ = self.words[x[left] + depth] ^ self.words[y[left] + depth]
+            apart = np.flatnonzero(differ)
+            out[left[apart]] = depth + (differ[apart].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(1)
+            left = left[differ == 0]
+        low, high = np.full(len(left), 24), np.full(len(left), LENGTH)
+        xl, yl = x[left], y[left]
+        xs, xi, ys, yi = self.sums[xl], self.inverse[xl], self.sums[yl], self.inverse[yl]
+        for _ in range((LENGTH - 24).bit_length()):
+            middle = (low + high + 1) // 2
+            equal = (self.sums[xl + middle] - xs) * xi == (self.sums[yl + middle] - ys) * yi
+            low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
+        whole = np.flatnonzero(low == LENGTH)
+        for i in range(0, len(whole), 1 << 14):
+            part = whole[i : i + (1 << 14)]
+            differ = self.window(xl[part]) != self.window(yl[part])
+            low[part] = np.where(differ.any(1), differ.argmax(1), LENGTH)
+        out[left] = low
+        return out
+
+    def window(self, at: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[at]
+
+
+def in_order(text: Text, at: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows at ``at``, in the order of their first bytes, to full suffix order; tied: whether a window goes on its predecessor's stretch
+    of equal first bytes. Returns the order, and for each place whether the window there equals the one before it.
+
+    A stretch is split by its first window: what is smaller by the length of the common prefix, what is equal, what is larger. Windows
+    on the same side with prefixes of one length stay a stretch for the next turn.
+    """
+    order, equal, place = np.arange(len(at)), np.zeros(len(at), bool), np.arange(len(at))
+    while True:
+        open_ = tied.copy()
+        open_[:-1] |= tied[1:]
+        place, tied = place[open_], tied[open_]
+        if not len(place):
+            return order, equal
+        stretch, x = np.cumsum(~tied), at[order[place]]
+        lead = x[~tied][stretch - 1]
+        prefix = text.common(x, lead)
+        step = np.minimum(prefix, LENGTH - 1)
+        smaller = text.data[x + step] < text.data[lead + step]
+        rank = np.where(prefix == LENGTH, LENGTH, np.where(smaller, prefix, 2 * LENGTH - prefix))
+        key = stretch * (4 * LENGTH) + rank
+        by = np.argsort(key, kind="stable")
+        order[place], key = order[place][by], key[by]
+        joined = np.append(False, key[1:] == key[:-1])
+        same = joined & (key % (4 * LENGTH) == LENGTH)
+        equal[place] |= same
+        tied = joined & ~same
+
+
 class Level:
-    """Windows in suffix order: order (first bytes, then fingerprint) and the windows' numbers in the index."""
+    """A suffix array: places of windows in the order of their bytes, no two equal, and the first eight bytes of each."""
 
-    def __init__(self, order: np.ndarray, number: np.ndarray):
-        self.order, self.number = order, number
+    def __init__(self, head: np.ndarray, at: np.ndarray, number: np.ndarray):
+        self.head, self.at, self.number = head, at, number
 
     def __len__(self) -> int:
-        return len(self.order)
+        return len(self.at)
+
+    def take(self, which: np.ndarray) -> "Level":
+        return Level(self.head[which], self.at[which], self.number[which])
 
 
 class Family:
@@ -137,71 +228,50 @@ class Family:
 
     def __init__(self):
         self.levels: list[Level] = []
-        self.bytes: list[np.ndarray] = []  # of each batch, and where its windows begin
-        self.base: list[int] = []
-        self.at: list[np.ndarray] = []
+        self.text = Text()
         self.marked = np.zeros(0, bool)
 
     def add(self, data: np.ndarray, starts: np.ndarray) -> None:
         """A batch: windows begin at starts in data."""
-        base = len(self.marked)
-        self.bytes.append(data)
-        self.base.append(base)
-        self.at.append(starts)
+        at = self.text.add(data) + starts
+        number = len(self.marked) + np.arange(len(starts))
         self.marked = np.concatenate([self.marked, np.zeros(len(starts), bool)])
-        order = (words(data, little=False)[starts] >> np.uint64(48) << np.uint64(48)) | (fingers(data, starts) >> np.uint64(16))
-        by = np.argsort(order, kind="stable")
-        level = Level(order[by], base + by)
-        same = np.flatnonzero(level.order[1:] == level.order[:-1])
-        level = self._without(level, same[self._mark(level.number[same], level.number[same + 1])] + 1)
+        head = self.text.words[at]
+        by = np.argsort(head, kind="stable")
+        level = Level(head[by], at[by], number[by])
+        order, equal = in_order(self.text, level.at, np.append(False, level.head[1:] == level.head[:-1])[: len(level)])
+        level = self._settled(level.take(order), equal)
         for old in self.levels:
-            low, high = np.searchsorted(old.order, level.order, "left"), np.searchsorted(old.order, level.order, "right")
-            some = np.flatnonzero(high > low)
-            i, j = np.repeat(some, (high - low)[some]), ragged(low[some], (high - low)[some])
-            level = self._without(level, i[self._mark(old.number[j], level.number[i])])
+            level = self._scanned(level, old)
         self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
-            order, number = np.concatenate([a.order, b.order]), np.concatenate([a.number, b.number])
-            by = np.argsort(order, kind="stable")  # two runs in order: a merge
-            self.levels.append(Level(order[by], number[by]))
-
-    @staticmethod
-    def _without(level: Level, gone: np.ndarray) -> Level:
-        keep = np.ones(len(level), bool)
-        keep[gone] = False
-        return Level(level.order[keep], level.number[keep])
-
-    def _window(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        batch = np.searchsorted(self.base, number, "right") - 1
-        return batch, number - np.asarray(self.base)[batch]
-
-    def _mark(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Marks pairs whose 200 bytes are equal; which pairs they are."""
-        equal = np.zeros(len(x), bool)
-        for i in range(0, len(x), 1 << 14):
-            equal[i : i + (1 << 14)] = (self._read(x[i : i + (1 << 14)]) == self._read(y[i : i + (1 << 14)])).all(1)
-        self.marked[x[equal]] = True
-        self.marked[y[equal]] = True
-        return np.flatnonzero(equal)
-
-    def _read(self, number: np.ndarray) -> np.ndarray:
-        out = np.empty((len(number), LENGTH), np.uint8)
-        batch, own = self._window(number)
-        for b in np.unique(batch).tolist():
-            at = batch == b
-            windows = np.lib.stride_tricks.sliding_window_view(self.bytes[b], LENGTH)
-            out[at] = windows[self.at[b][own[at]]]
-        return out
-
-
-def fingers(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit polynomial fingerprints of the 200 bytes from each start on."""
-    n = len(data)
-    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, C1, np.uint64)]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[data] * powers[:n])])
-    inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(FINGER), np.uint64)]))
-    return (sums[starts + LENGTH] - sums[starts]) * inverse[starts]
+            self.levels.append(self._merged(a, b)[0])
+
+    def _settled(self, level: Level, equal: np.ndarray) -> Level:
+        """Marks runs of equal windows and keeps the first of each."""
+        self.marked[level.number[equal]] = True
+        self.marked[level.number[np.append(equal[1:], False)[: len(level)]]] = True
+        return level.take(~equal)
+
+    def _merged(self, a: Level, b: Level) -> tuple[Level, np.ndarray]:
+        """Two levels in one order, and which windows equal their predecessors."""
+        head = np.concatenate([a.head, b.head])
+        by = np.argsort(head, kind="stable")  # two runs in order: a merge
+        both = Level(head, np.concatenate([a.at, b.at]), np.concatenate([a.number, b.number])).take(by)
+        order, equal = in_order(self.text, both.at, np.append(False, both.head[1:] == both.head[:-1])[: len(both)])
+        return both.take(order), equal
+
+    def _scanned(self, level: Level, old: Level) -> Level:
+        """The merge scan: marks equal windows of a level and an old one, and returns the level without them."""
+        low, high = np.searchsorted(old.head, level.head, "left"), np.searchsorted(old.head, level.head, "right")
+        met = np.flatnonzero(high > low)
+        fresh = met[np.append(True, level.head[met][1:] != level.head[met][:-1])[: len(met)]]
+        theirs = old.take(ragged(low[fresh], (high - low)[fresh]))
+        both, equal = self._merged(theirs, level.take(met))
+        self._settled(both, equal)
+        # the old one's window comes before the new one's, as equal windows keep their sides' order
+        return level.take(~np.isin(level.number, both.number[equal]))
 
 
 def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +364,7 @@ def shared_records(docs: DataFrame) -> DataFrame:
 
 def matched_runs(docs: DataFrame, contents: DataFrame, odd: bool) -> DataFrame:
     """(key, content, skip, n): the windows of different contents that match others. Texts move to meet what is wanted of them."""
-    parts = contents.groupBy("key").agg(F.when(F.count("*") > HOT_CONTENTS, SLICES).otherwise(1).alias("parts")).where("parts > 1")
+    parts = contents.groupBy("key").agg(F.ceil(F.count("*") / SLICE_CONTENTS).cast("int").alias("parts")).where("parts > 1")
     several = contents.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     wanted = several.groupBy(F.col("k").alias("_k"), F.col("v").alias("_v")).agg(F.collect_list(F.struct("key", "content", "at", "n", "lead", "parts")).alias("wanted"))
     texts = docs.select("_k", "_v", "text")

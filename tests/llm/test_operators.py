@@ -274,9 +274,55 @@ def test_op7_equals_brute_force(spark, sf_dir, texts):
     assert got == brute_spans(texts)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+def suffix_texts():
+    rng = np.random.default_rng(11)
+    noise = lambda n: bytes(rng.choice(np.frombuffer(b"abc ", np.uint8), n))
+    shared = noise(900)
+    return [noise(260), shared[:420], shared[100:700], b"a" * 450, b"ab" * 220, noise(300) + shared[500:900], b"a" * 300, shared[:420]]
+
+
+def test_op7_suffix_order_is_the_order_of_bytes():
+    text = suffix_dedup.Text()
+    at = []
+    for raw in suffix_texts():
+        base = text.add(np.frombuffer(raw, np.uint8))
+        at += [base + i for i in range(len(raw) - 199)]
+    at = np.array(at)
+    whole = text.data.tobytes()
+    head = text.words[at]
+    by = np.argsort(head, kind="stable")
+    order, equal = suffix_dedup.in_order(text, at[by], np.append(False, head[by][1:] == head[by][:-1]))
+    got = [whole[x : x + 200] for x in at[by][order].tolist()]
+    assert got == sorted(got) and equal.tolist() == [False] + [a == b for a, b in zip(got, got[1:], strict=False)]
+    x, y = at[np.random.default_rng(1).integers(0, len(at), (2, 500))]
+    common = lambda a, b: next((i for i in range(200) if a[i] != b[i]), 200)
+    assert text.common(x, y).tolist() == [common(whole[i : i + 200], whole[j : j + 200]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+
+
+def test_op7_family_of_levels():
+    """Batches one after another mark what one batch of all marks; levels are suffix arrays without equal windows and shrink by halves."""
+    texts = suffix_texts()
+    count = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    wanted = [count[t[i : i + 200]] > 1 for t in texts for i in range(len(t) - 199)]
+    one = suffix_dedup.Family()
+    at = np.cumsum([0] + [len(t) for t in texts])
+    one.add(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([a + np.arange(len(t) - 199) for a, t in zip(at, texts, strict=False)]))
+    many = suffix_dedup.Family()
+    for t in texts:
+        many.add(np.frombuffer(t, np.uint8), np.arange(len(t) - 199))
+        sizes = [len(level) for level in many.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    assert one.marked.tolist() == many.marked.tolist() == wanted
+    for level in one.levels + many.levels:
+        text = (one if level in one.levels else many).text
+        own = [bytes(w) for w in text.window(level.at)]
+        assert own == sorted(set(own)) and (text.words[level.at] == level.head).all()
+    assert sum(len(level) for level in many.levels) == len(count)
+
+
+@pytest.mark.parametrize("hot", [2_000, 3, 0.01])
 def test_op7_repeats_within_and_across(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_CONTENTS", hot)
+    monkeypatch.setattr(suffix_dedup, "SLICE_CONTENTS", hot)
     monkeypatch.setattr(suffix_dedup, "BATCH_WINDOWS", 300)
     rng = np.random.default_rng(7)
     noise = lambda n: "".join(rng.choice(list("abcdefghij klmnop"), n))
