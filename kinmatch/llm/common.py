@@ -40,7 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage: a reliable checkpoint on shared storage, which Spark removes with its last reader."""
+    """Compute once and cut the lineage: a reliable checkpoint on shared storage.
+
+    Spark removes its files with the last reader only where the application sets spark.cleaner.referenceTracking.cleanCheckpoints;
+    otherwise they stay in the folder until someone clears it.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -76,8 +80,8 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Between steps: Spark removes shuffle files and checkpoints once the driver's garbage collection finds that no plan refers to them
-    any more. Finished steps are on shared storage by then, so nothing that could be needed again goes."""
+    """Between steps: Spark removes shuffle files once the driver's garbage collection finds that no plan refers to them any more.
+    Finished steps are on shared storage by then, so nothing that could be needed again goes."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

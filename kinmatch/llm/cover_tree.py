@@ -1,8 +1,8 @@
 """Embedding near-dedup: all pairs within a cosine threshold, by dual traversal of cover trees.
 
 Cosine >= t means a distance of unit vectors of at most sqrt(2 - 2t). Equal vectors are one class first, with a weight. The top of the
-tree is a bounded sample of centres; every class belongs to its nearest one, and cells of more than ``BLOCK`` rows are dealt out into
-blocks. Below, each block has its own cover tree: levels of halving radii, each node's members within its level's radius of the
+tree is a sample of centres, one for ``BLOCK`` rows, but no more than the root of the rows (so that what the driver holds grows with
+the root at most); every class belongs to its nearest one, and cells of more than ``BLOCK`` rows are dealt out into blocks. Below, each block has its own cover tree: levels of halving radii, each node's members within its level's radius of the
 node's centre, itself one of them.
 
 A row meets a cell only if its distance to the cell's centre is at most the cell's covering radius plus the threshold. Two blocks that
@@ -11,6 +11,10 @@ covering radii; if the distance plus both radii is within the threshold, all mem
 at the bottom is decided by the cosine of the vectors in double precision. Tasks return each row's number of links and the links of a
 spanning forest, so a group of copies never becomes pairs.
 
+Growth. Pairs of nodes are taken in portions, so memory doesn't grow with them. Where vectors lie in clusters, a row meets few cells. Where
+they have no structure at this threshold, no covering radius excludes a cell: every block meets every other, and work and dealt rows
+grow with the square of the rows over ``BLOCK``. That is the price of an exact result there.
+
 Results for odd input: vectors that are null, zero, of another length than most or hold null or non-finite components link with nothing;
 rows that share a vec_id are vectors of their own, linked by the id (their n_links count vectors, not ids); a null vec_id keeps its row
 apart, with a null component_id, and kept; an empty table gives no rows; extra columns aren't read.
@@ -18,6 +22,7 @@ apart, with a null component_id, and kept; an empty table gives no rows; extra c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +34,8 @@ from kinmatch.llm.common import cut, ragged
 from kinmatch.llm.components import by_id, components
 from kinmatch.llm.vectors import common_length, matrix, usable
 
-#: Rows of a block, and centres of the top level at most (their number grows with the table up to it; blocks take the rest).
-BLOCK, CENTRES = 4096, 1024
+#: Rows of a block, and pairs of nodes or rows that are looked at together.
+BLOCK, PORTION = 4096, 1 << 19
 #: Distances are bounded with this slack, so rounding never prunes or links a pair that the cosine decides otherwise.
 SLACK = 1e-7
 
@@ -107,9 +112,9 @@ def cross(begin_a: np.ndarray, n_a: np.ndarray, begin_b: np.ndarray, n_b: np.nda
     """All members of a x members of b for each pair of ranges, in portions."""
     sizes, i = n_a * n_b, 0
     while i < len(sizes):
-        j = max(i + 1, int(np.searchsorted(np.cumsum(sizes[i:]), 1 << 19, "right")) + i)
-        if j == i + 1 and sizes[i] > 1 << 19:  # one large pair: by rows
-            step = max(1, (1 << 19) // int(n_b[i]))
+        j = max(i + 1, int(np.searchsorted(np.cumsum(sizes[i:]), PORTION, "right")) + i)
+        if j == i + 1 and sizes[i] > PORTION:  # one large pair: by rows
+            step = max(1, PORTION // int(n_b[i]))
             for x in range(0, int(n_a[i]), step):
                 rows = np.arange(begin_a[i] + x, begin_a[i] + min(x + step, int(n_a[i])))
                 yield np.repeat(rows, n_b[i]), np.tile(np.arange(begin_b[i], begin_b[i] + n_b[i]), len(rows))
@@ -159,21 +164,7 @@ def traverse(a: Tree, b: Tree, threshold: float, cosine: float, links: Links, ro
         rest = ~inside & (far <= bound + reach)
         return x[rest], y[rest]
 
-    # the first level is dense: whole blocks of centres at once
-    ca, cb = a.u[a.levels[0][0]], b.u[b.levels[0][0]]
-    found = []
-    for i in range(0, len(ca), 512):
-        far = distances(ca[i : i + 512], cb)
-        x, y = np.nonzero(far <= bound + a.levels[0][1][i : i + 512, None] + b.levels[0][1][None, :])
-        found.append(decide(0, x + i, y, far[x, y]))
-    x, y = (np.concatenate([f[k] for f in found]) for k in range(2))
-    for level in range(1, last + 1):
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for p, q in cross(*a.children(level, x), *b.children(level, y)) if len(x) else ():
-            far = np.sqrt(np.maximum(2.0 - 2.0 * np.einsum("ij,ij->i", a.u[a.levels[level][0][p]], b.u[b.levels[level][0][q]]), 0.0))
-            found.append(decide(level, p, q, far))
-        x, y = (np.concatenate([f[k] for f in found]) for k in range(2))
-    if len(x):
+    def bottom(x: np.ndarray, y: np.ndarray) -> None:
         for p, q in cross(a.levels[last][2][x], a.levels[last][3][x], b.levels[last][2][y], b.levels[last][3][y]):
             linked = np.einsum("ij,ij->i", a.u[p], b.u[q]) >= cosine
             p, q = row_a[p[linked]], row_b[q[linked]]
@@ -184,8 +175,28 @@ def traverse(a: Tree, b: Tree, threshold: float, cosine: float, links: Links, ro
                 links.count += np.bincount(q, links.weight[p], len(links.count)).astype(np.int64)
             links.join(p, q)
 
+    def descend(level: int, x: np.ndarray, y: np.ndarray) -> None:
+        """Takes node pairs of a level down, a portion of their children after another."""
+        if not len(x):
+            return
+        if level == last:
+            bottom(x, y)
+            return
+        level += 1
+        for p, q in cross(*a.children(level, x), *b.children(level, y)):
+            far = np.sqrt(np.maximum(2.0 - 2.0 * np.einsum("ij,ij->i", a.u[a.levels[level][0][p]], b.u[b.levels[level][0][q]]), 0.0))
+            descend(level, *decide(level, p, q, far))
+
+    # all centres of the first level, a portion of rows at once
+    ca, cb = a.u[a.levels[0][0]], b.u[b.levels[0][0]]
+    step = max(1, PORTION // len(cb))
+    for i in range(0, len(ca), step):
+        far = distances(ca[i : i + step], cb)
+        x, y = np.nonzero(far <= bound + a.levels[0][1][i : i + step, None] + b.levels[0][1][None, :])
+        descend(0, *decide(0, x + i, y, far[x, y]))
+
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors (vec_id, embedding). cosine is over 0."""
     spark, threshold = vectors.sparkSession, float(np.sqrt(2 - 2 * cosine))
     odd = vectors.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1 or vec_id is null").limit(1).count() > 0
@@ -199,7 +210,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK, ce
     n = classes.count()
     if not n:
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    wanted = min(centres, -(-n // block))
+    wanted = min(-(-n // block), math.isqrt(n - 1) + 1)
     chosen = classes.select("node", "x").orderBy(F.xxhash64("node")).limit(wanted).toArrow()
     top = matrix(chosen.column("x"), length)
     top = top / np.linalg.norm(top, axis=1, keepdims=True)

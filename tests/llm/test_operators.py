@@ -345,7 +345,7 @@ def test_op8_held_out_accuracy(spark, sf_dir):
     assert np.mean([r.predicted for r in held if labels[r.doc_id]]) > 0.9
 
 
-def test_op9_equals_brute_force(spark):
+def test_op9_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(9)
     centres = rng.standard_normal((40, 16))
     x = np.concatenate([c + s * rng.standard_normal((25, 16)) for c, s in zip(centres, np.linspace(0.02, 0.9, 40), strict=True)]).astype(np.float32)
@@ -359,11 +359,33 @@ def test_op9_equals_brute_force(spark):
     for a, b in zip(*np.nonzero(near), strict=True):
         groups.link(int(a), int(b))
     wanted = {i: (int(near[i].sum()), groups.find(i), groups.find(i) == i) for i in range(len(x))}
-    for block, centres_at_most in ((4096, 1024), (100, 4), (64, 1024)):
-        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_vectors(frame, block=block, centres=centres_at_most).collect()}
+    for block, portion in ((4096, 1 << 19), (100, 1 << 19), (8, 500)):
+        monkeypatch.setattr(cover_tree, "PORTION", portion)
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_vectors(frame, block=block).collect()}
         assert got == wanted
 
 
+def test_op9_query_equals_brute_force(spark, sf_dir, tmp_path):
+    """The query over the table's own vectors and turned copies of some of them."""
+    rng = np.random.default_rng(10)
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    more = [(10_000 + i, (2 * np.array(own[i % 60].embedding) + 0.04 * rng.standard_normal(len(own[0].embedding)) * (i // 60)).tolist()) for i in range(300)]
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame([tuple(r) for r in own] + more, "vec_id long, embedding array<float>").write.parquet(path)
+    rows = spark.read.parquet(path).collect()
+    sound = {r.vec_id: np.array(r.embedding, float) for r in rows if r.embedding and np.isfinite(np.array(r.embedding, float)).all() and any(r.embedding)}
+    ids = sorted(sound)
+    u = np.stack([sound[i] / np.linalg.norm(sound[i]) for i in ids])
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    groups = Groups([r.vec_id for r in rows])
+    for a, b in zip(*np.nonzero(near), strict=True):
+        groups.link(ids[a], ids[b])
+    wanted = {r.vec_id: (0, r.vec_id, True) for r in rows} | {i: (int(near[k].sum()), groups.find(i), groups.find(i) == i) for k, i in enumerate(ids)}
+    assert near.any()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op9_cover_tree(spark, str(tmp_path)).collect()} == wanted
+
+
 def test_op10_equals_sql(spark, sf_dir, same):
     same(queries.op10_mixing(spark, sf_dir), queries.SQL["op10_mixing"])
 
