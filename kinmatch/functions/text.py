@@ -5,16 +5,24 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.functions.tables import LEGAL_SUFFIXES, expansions
 
+# --- fixed values: patterns of what goes from names and addresses, and of numbers ---
 URL, DOMAIN = r"https?://(?:www\.)?", r"\.(com|org|net|in|co|io|fr)\b"
+OTHER, BLANKS = r"[^a-zA-Z0-9\s]", r"\s+"
 DIGITS = "^[0-9]+$"
 
-#: Characters that don't decompose into ASCII and a mark.
-SPECIAL = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ı": "i", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "...", "€": "EUR", "£": "GBP", "©": "(c)", "®": "(r)", "«": "<<", "»": ">>", " ": " "}
+# --- fixed values: ASCII for characters that don't decompose into ASCII and a mark ---
+SPECIAL = {
+    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ı": "i",
+    "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "...", "«": "<<", "»": ">>", " ": " ",
+    "€": "EUR", "£": "PS", "¥": "Y=", "¢": "C/", "©": "(c)", "®": "(r)", "™": "(tm)", "§": "SS", "¶": "P", "°": "deg", "µ": "u", "×": "x", "÷": "/", "±": "+-",
+    "½": "1/2", "¼": "1/4", "¾": "3/4", "²": "2", "³": "3", "¹": "1", "ª": "a", "º": "o",
+}
 
 
 def ascii_of(character: str) -> str | None:
@@ -51,22 +59,35 @@ def romanized(spark: SparkSession, characters: Iterable[str]) -> dict[str, str]:
 
 
 def transliterate(c: Column, table: dict[str, str] | None = None) -> Column:
-    """ASCII for every character that the table knows; the others go. ASCII text passes untouched."""
-    table = latin_table() if table is None else table
-    single = {k: v for k, v in table.items() if len(v) == 1 and len(k) == 1}
-    out = F.translate(c, "".join(single), "".join(single.values())) if single else c
-    for k, v in table.items():
+    """ASCII for every character that the table knows; the others go. ASCII text passes untouched.
+
+    The usual letters are replaced by native functions. A table of one's own may have thousands of characters, more than a plan can
+    nest; it goes to an Arrow function, which only text beyond ASCII enters.
+    """
+    beyond = c.rlike(r"[^\x00-\x7f]")
+    if table is not None:
+        own = {ord(k): v for k, v in table.items()}
+
+        @F.pandas_udf("string")
+        def replaced(text: pd.Series) -> pd.Series:
+            return text.map(lambda t: None if t is None else t.translate(own))
+
+        return F.when(beyond, F.regexp_replace(replaced(F.when(beyond, c)), r"[^\x00-\x7f]", "")).otherwise(c)
+    known = latin_table()
+    single = {k: v for k, v in known.items() if len(v) == 1}
+    out = F.translate(c, "".join(single), "".join(single.values()))
+    for k, v in known.items():
         if k not in single:
             out = F.replace(out, F.lit(k), F.lit(v))
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(out, r"[^\x00-\x7f]", "")).otherwise(c)
+    return F.when(beyond, F.regexp_replace(out, r"[^\x00-\x7f]", "")).otherwise(c)
 
 
 def clean(c: Column, table: dict[str, str] | None = None) -> Column:
     """Null and the whole text 'null' are empty; ASCII, lower case, no URL scheme, domain ending or punctuation, single blanks."""
     out = F.when(c.isNull() | (c == "null"), F.lit("")).otherwise(c)
     out = F.regexp_replace(F.lower(transliterate(out, table)), URL, "")
-    out = F.regexp_replace(F.regexp_replace(out, DOMAIN, " "), r"[^a-zA-Z0-9\s]", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(F.regexp_replace(out, DOMAIN, " "), OTHER, " ")
+    return F.trim(F.regexp_replace(out, BLANKS, " "))
 
 
 def tokens(c: Column) -> Column:

@@ -57,13 +57,21 @@ def _grid(spark: SparkSession, name: str, values: Sequence[float]) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], f"{name}_no int, {name} double")
 
 
-def _accepted_counts(scored: DataFrame, truth: DataFrame, values: Sequence[float], prefix: str) -> DataFrame:
-    """s1_id, and arrays over the grid: pairs and true pairs at or above each value. One row per S1, whatever the grid's size."""
-    own = scored.where(F.col("target_id").startswith(prefix)) if prefix else scored
-    marked = own.join(truth.select("s1_id", "target_id", F.lit(1).alias("hit")), ["s1_id", "target_id"], "left")
-    pred = [F.count_if(F.col("p") >= v) for v in values]
-    hits = [F.count_if((F.col("p") >= v) & F.col("hit").isNotNull()) for v in values]
-    return marked.groupBy("s1_id").agg(F.array(*pred).alias("n"), F.array(*hits).alias("tp"))
+def _accepted_counts(scored: DataFrame, truth: DataFrame, grids: dict[str, Sequence[float]]) -> DataFrame:
+    """s1_id, and for each prefix of targets arrays over its grid: pairs (n) and true pairs (tp) at or above each value.
+
+    One pass over the pairs and one row per S1, whatever the grids' sizes.
+    """
+    marked = scored.join(truth.select("s1_id", "target_id", F.lit(1).alias("hit")), ["s1_id", "target_id"], "left")
+    at_least = lambda prefix, v: F.col("target_id").startswith(prefix) & (F.col("p") >= v)
+    arrays = [F.array(*[F.count_if(at_least(prefix, v) & test) for v in grid]).alias(f"{name}{prefix[:2]}") for prefix, grid in grids.items() for name, test in (("n", F.lit(True)), ("tp", F.col("hit").isNotNull()))]
+    return marked.groupBy("s1_id").agg(*arrays)
+
+
+def _with_zeros(rows: DataFrame, counts: DataFrame, grids: dict[str, Sequence[float]]) -> DataFrame:
+    zero = lambda grid: F.array(*[F.lit(0).cast("long")] * len(grid))
+    names = {f"{name}{prefix[:2]}": grid for prefix, grid in grids.items() for name in ("n", "tp")}
+    return rows.join(counts, "s1_id", "left").withColumns({name: F.coalesce(name, zero(grid)) for name, grid in names.items()})
 
 
 def _true_counts(spine: DataFrame, truth: DataFrame) -> DataFrame:
@@ -73,23 +81,22 @@ def _true_counts(spine: DataFrame, truth: DataFrame) -> DataFrame:
 def search_source_thresholds(spine: DataFrame, truth: DataFrame, scored: DataFrame, s2_grid: Sequence[float] = SOURCE_GRID, s3_grid: Sequence[float] = SOURCE_GRID) -> DataFrame:
     """t2, t3, macro_f05 for the whole grid, best first (ties: the smaller t2, then t3). No exclusivity here.
 
-    Counts per S1 are made once for each source's grid; their combinations are then averaged, so pairs aren't multiplied by the grid.
+    Counts per S1 are made once for both sources' grids; an S1 then gives a row for each of S2's thresholds, with S3's beside each
+    other, so pairs aren't multiplied by the grid.
     """
-    zero2, zero3 = (F.array(*[F.lit(0).cast("long")] * len(g)) for g in (s2_grid, s3_grid))
-    rows = _true_counts(spine, truth)
-    for prefix, mark in (("S2-", "2"), ("S3-", "3")):
-        grid, zero = (s2_grid, zero2) if mark == "2" else (s3_grid, zero3)
-        counts = _accepted_counts(scored, truth, grid, prefix).select("s1_id", F.col("n").alias(f"n{mark}"), F.col("tp").alias(f"tp{mark}"))
-        rows = rows.join(counts, "s1_id", "left").withColumns({f"n{mark}": F.coalesce(f"n{mark}", zero), f"tp{mark}": F.coalesce(f"tp{mark}", zero)})
-    cells = [(i, j) for i in range(len(s2_grid)) for j in range(len(s3_grid))]
-    means = [F.avg(f05(F.get("tp2", i) + F.get("tp3", j), F.col("n_true"), F.get("n2", i) + F.get("n3", j))) for i, j in cells]
-    entry = [F.struct(F.lit(float(s2_grid[i])).alias("t2"), F.lit(float(s3_grid[j])).alias("t3"), m.alias("macro_f05")) for (i, j), m in zip(cells, means, strict=True)]
-    return rows.agg(F.array(*entry).alias("cells")).select(F.inline("cells")).orderBy(F.desc(F.round("macro_f05", 9)), "t2", "t3")
+    grids = {"S2-": s2_grid, "S3-": s3_grid}
+    rows = _with_zeros(_true_counts(spine, truth), _accepted_counts(scored, truth, grids), grids)
+    # after the join two columns are enough for a cell, so the aggregate stays narrow
+    by_t2 = rows.select("n_true", "nS3", "tpS3", F.posexplode(F.arrays_zip(F.col("nS2").alias("n"), F.col("tpS2").alias("tp"))).alias("i", "own"))
+    means = [F.avg(f05(F.col("own.tp") + F.get("tpS3", j), F.col("n_true"), F.col("own.n") + F.get("nS3", j))) for j in range(len(s3_grid))]
+    cells = by_t2.groupBy("i").agg(F.array(*[F.struct(F.lit(float(v)).alias("t3"), m.alias("macro_f05")) for v, m in zip(s3_grid, means, strict=True)]).alias("cells"))
+    t2 = F.element_at(F.array(*[F.lit(float(v)) for v in s2_grid]), F.col("i") + 1)
+    return cells.select(t2.alias("t2"), F.inline("cells")).orderBy(F.desc(F.round("macro_f05", 9)), "t2", "t3")
 
 
 def search_global_threshold(spine: DataFrame, truth: DataFrame, scored: DataFrame, grid: Sequence[float] = GLOBAL_GRID) -> DataFrame:
     """threshold, macro_f05 for one threshold for all, best first (ties: the smaller)."""
-    zero = F.array(*[F.lit(0).cast("long")] * len(grid))
-    rows = _true_counts(spine, truth).join(_accepted_counts(scored, truth, grid, ""), "s1_id", "left").withColumns({"n": F.coalesce("n", zero), "tp": F.coalesce("tp", zero)})
+    grids = {"": grid}
+    rows = _with_zeros(_true_counts(spine, truth), _accepted_counts(scored, truth, grids), grids)
     entry = [F.struct(F.lit(float(v)).alias("threshold"), F.avg(f05(F.get("tp", i), F.col("n_true"), F.get("n", i))).alias("macro_f05")) for i, v in enumerate(grid)]
     return rows.agg(F.array(*entry).alias("cells")).select(F.inline("cells")).orderBy(F.desc(F.round("macro_f05", 9)), "threshold")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kinmatch.operators.decide import accept, f05, one_owner
+from kinmatch.operators.decide import accept, f05
+from kinmatch.sources.shared import kept
 
 CUTOFFS = (1, 5, 10, 20, 50)
 BUCKETS = ("0", "1", "2-5", "6-20", "21-50", ">50")
@@ -60,11 +62,13 @@ def source_report(spine: DataFrame, truth: DataFrame, links: DataFrame, candidat
 
 
 def link_metrics(truth: DataFrame, links: DataFrame) -> DataFrame:
-    """tp, fp, fn, precision and recall per source; null where the denominator is 0."""
+    """tp, fp, fn, precision and recall per source, S2 and S3 in any case; null where the denominator is 0."""
     key = ["s1_id", "target_id"]
     both = truth.select(*key).distinct().withColumn("t", F.lit(1)).join(links.select(*key).distinct().withColumn("p", F.lit(1)), key, "full")
     counts = both.groupBy(F.substring("target_id", 1, 2).alias("source")).agg(F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
     ratio = lambda n, d: F.when(d > 0, n / d)
+    both_sources = truth.sparkSession.createDataFrame([("S2",), ("S3",)], "source string")
+    counts = both_sources.join(counts, "source", "full").select("source", _zero("tp"), _zero("fp"), _zero("fn"))
     return counts.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
@@ -122,22 +126,26 @@ def decompose_errors(truth: DataFrame, scored: DataFrame, s2: float, s3: float,
     A wrong link is a near tie if the two best accepted scores for its target are within the margin.
     """
     key = ["s1_id", "target_id"]
-    pre = accept(scored, s2, s3)
-    post = one_owner(pre)
-    state = scored.select(*key, F.lit(1).alias("seen")).join(pre.select(*key, F.lit(1).alias("above")), key, "left").join(post.select(*key, F.lit(1).alias("kept")), key, "left")
-    missed = truth.select(*key).distinct().join(state, key, "left").where("kept is null")
-    why = F.when(F.col("seen").isNull(), "not_retrieved").when(F.col("above").isNull(), "below_threshold").otherwise("lost_by_uniqueness")
-    best = W.partitionBy("target_id").orderBy(F.desc("p"))
-    gap = pre.withColumns({"r": F.row_number().over(best), "next": F.lead("p").over(best)}).where("r = 1").select("target_id", (F.col("p") - F.col("next")).alias("gap"))
-    wrong = post.join(truth.select(*key).distinct(), key, "left_anti").join(gap, "target_id", "left")
+    # one window over the accepted pairs of a target tells the owner, the gap to the next and what was lost
+    best = W.partitionBy("target_id").orderBy(F.desc("p"), "s1_ordinal" if "s1_ordinal" in scored.columns else "s1_id")
+    above = accept(scored, s2, s3).withColumns({"r": F.row_number().over(best), "gap": F.col("p") - F.lead("p").over(best)})
+    state = scored.select(*key, F.lit(1).alias("seen")).join(above.select(*key, "r", "gap"), key, "left")
+    known = truth.select(*key).distinct().withColumn("linked", F.lit(1)).join(kept(state, "states"), key, "full")
+    missed = known.where("linked is not null and (r is null or r > 1)")
+    why = F.when(F.col("seen").isNull(), "not_retrieved").when(F.col("r").isNull(), "below_threshold").otherwise("lost_by_uniqueness")
+    wrong = known.where("linked is null and r = 1")
     how = F.when(F.col("gap") <= margin, "near_tie").otherwise("non_ambiguous")
     spine = truth.sparkSession.createDataFrame([("fn", "not_retrieved"), ("fn", "below_threshold"), ("fn", "lost_by_uniqueness"), ("fp", "near_tie"), ("fp", "non_ambiguous"), ("fp", "other")], "kind string, category string")
     counts = missed.select(F.lit("fn").alias("kind"), why.alias("category")).unionByName(wrong.select(F.lit("fp").alias("kind"), how.alias("category"))).groupBy("kind", "category").agg(F.count("*").alias("links"))
     return spine.join(counts, ["kind", "category"], "left").select("kind", "category", _zero("links"))
 
 
+# --- fixed values: oracle scores from which recommendation B, and then C, is given ---
+LEAST_B, LEAST_C = 0.985, 0.995
+
+
 def recommendation(oracle_f05: Column) -> Column:
-    return F.when(oracle_f05 < 0.985, "A").when(oracle_f05 < 0.995, "B").otherwise("C")
+    return F.when(oracle_f05 < LEAST_B, "A").when(oracle_f05 < LEAST_C, "B").otherwise("C")
 
 
 def candidate_hashes(candidates: DataFrame) -> DataFrame:
@@ -147,12 +155,17 @@ def candidate_hashes(candidates: DataFrame) -> DataFrame:
     return rows.groupBy("s1_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), ""), 256).alias("hash"))
 
 
-def candidate_set_hash(candidates: DataFrame) -> str:
-    """One hash of the whole set: the sum of all rows' hashes (256 bits in parts), so nothing is collected or sorted."""
-    row = F.sha2(F.concat_ws("\x00", "s1_id", "target_id", F.col("rank").cast("string"), F.col("shared_keys").cast("string")), 256)
-    parts = candidates.select(*[F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)").alias(f"x{i}") for i in range(8)])
-    sums = parts.agg(*[F.coalesce(F.sum(f"x{i}"), F.lit(0)).alias(f"x{i}") for i in range(8)]).first()
-    return "".join(f"{int(s) % (1 << 32):08x}" for s in sums)
+def candidate_set_hash(candidates: DataFrame, spine: DataFrame) -> str:
+    """One digest of the whole set in the spine's order: each S1's id and its candidates in rank order, every field ended by a zero byte.
+
+    Lines are made and ordered by Spark; the driver takes them in order, a range at a time, and only feeds the digest.
+    """
+    digest = hashlib.sha256()
+    rows = candidates.select("s1_id", F.struct("rank", F.col("target_id")).alias("x")).groupBy("s1_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["target_id"]).alias("ids"))
+    lines = spine.select("s1_id", "ordinal").join(rows, "s1_id", "left").select("ordinal", F.concat(F.array_join(F.concat(F.array("s1_id"), F.coalesce("ids", F.array().cast("array<string>"))), "\0"), F.lit("\0")).alias("line"))
+    for r in lines.orderBy("ordinal").select("line").toLocalIterator(prefetchPartitions=True):
+        digest.update(r.line.encode())
+    return digest.hexdigest()
 
 
 def density(records: DataFrame) -> DataFrame:

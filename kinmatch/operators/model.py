@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from kinmatch.operators.features import NAMES, check_schema
 
-#: Settings by kind; Spark's trees grow by depth, so the number of leaves isn't one of them.
+# --- fixed values: settings by kind; Spark's trees grow by depth, so the number of leaves isn't one of them ---
 PRESETS = {
     "boosted": {"maxIter": 400, "stepSize": 0.035, "maxDepth": 7, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "minInstancesPerNode": 30, "seed": 42},
     "histogram": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "maxBins": 255, "seed": 42},

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions.text import normalize
 from kinmatch.operators import blocking, decide, evaluate, features, model, quality
+from kinmatch.sources.shared import kept
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -67,16 +68,17 @@ def train(records: DataFrame, truth: DataFrame, train_spine: DataFrame, kind: st
     needed = truth.join(train_spine.select("s1_id"), "s1_id", "left_semi")
     targets = model.reduced_pool(known.where("source <> 'S1'"), needed, distractors)
     pairs = blocking.candidates(s1, targets, config.top_k, config.common_limit, config.rare_limit)
-    rows = model.training_pairs(train_spine, needed, pairs, targets)
+    rows = kept(model.training_pairs(train_spine, needed, pairs, targets), "pairs")
     labels = rows.select("s1_id", "target_id", "label")
-    full = features.pair_features(rows.drop("label"), s1, targets).join(labels, ["s1_id", "target_id"])
+    # every tree reads the rows
+    full = kept(features.pair_features(rows.drop("label"), s1, targets).join(labels, ["s1_id", "target_id"]), "training")
     return model.PairModel(kind, **settings).fit(full)
 
 
 def validate_model(records: DataFrame, truth: DataFrame, spine: DataFrame, scorer: Scorer, config: Config = Config()) -> tuple[DataFrame, dict]:  # noqa: B008
     """(grid of thresholds, best first; metrics at the best ones, with exclusivity)."""
     s1, targets, pairs = retrieve(records.join(spine.select(F.col("s1_id").alias("entity_id")), "entity_id", "left_semi").unionByName(records.where("source <> 'S1'")), config)
-    scored = score_candidates(s1, targets, pairs, scorer)
+    scored = kept(score_candidates(s1, targets, pairs, scorer), "scored")  # the grid and the metrics read it
     grid = decide.search_source_thresholds(spine, truth, scored)
     best = grid.first()
     links = decide.decide(scored, best.t2, best.t3)
@@ -89,6 +91,8 @@ def evaluate_run(spine: DataFrame, candidates: DataFrame, scored: Mapping[str, D
 
     For each model (its scored pairs) and threshold pair: metrics before and after exclusivity, by country too, and the errors.
     """
+    # reports read candidates and scores many times
+    candidates, scored = kept(candidates, "candidates"), {name: kept(pairs, "scored") for name, pairs in scored.items()}
     faults = quality.candidate_faults(candidates, spine)
     if faults.limit(1).count():
         raise ValueError(f"bad candidates: {faults.limit(5).collect()}")

@@ -115,7 +115,7 @@ def fuzzy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, targets, pairs = _retrieved(spark, sf_dir)
-    return rounded(features.pair_features(pairs, s1, targets))
+    return rounded(features.pair_features(pairs, s1, targets).select("s1_id", "target_id", *features.NAMES))
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,12 +409,28 @@ _SOURCE = lambda p: f"""SELECT m.*, '{p}' AS source, (SELECT count(*) FROM candi
   (SELECT count(*) FROM truth JOIN candidates USING (s1_id, target_id) WHERE starts_with(target_id, '{p}')) AS retrieved,
   round(CASE WHEN true_links > 0 THEN (SELECT count(*) FROM truth JOIN candidates USING (s1_id, target_id) WHERE starts_with(target_id, '{p}')) / true_links ELSE 0.0 END, 6) AS candidate_recall
   FROM ({_metrics(_counts('links', f"starts_with(target_id, '{p}')"))}) m"""
-_TOKEN_SET = """CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN len(c) > 0 AND (len(ox) = 0 OR len(oy) = 0) THEN 1.0 ELSE greatest(
-  1 - (length(lx) + length(ly) - 2 * {lcs}) / (2 * (k + g) + length(lx) + length(ly)), CASE WHEN k > 0 THEN 2 * k / (2 * k + g + length(lx)) ELSE 0 END, CASE WHEN k > 0 THEN 2 * k / (2 * k + g + length(ly)) ELSE 0 END) END"""
+
+
+def _token_set(w: str) -> str:
+    x, y, c, ox, oy, lx, ly, k, g = (f"{n}_{w}" for n in ("x", "y", "c", "ox", "oy", "lx", "ly", "k", "g"))
+    return f"""CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0 WHEN len({c}) > 0 AND (len({ox}) = 0 OR len({oy}) = 0) THEN 1.0 ELSE greatest(
+  1 - (length({lx}) + length({ly}) - 2 * {_lcs(lx, ly)}) / (2 * ({k} + {g}) + length({lx}) + length({ly})), CASE WHEN {k} > 0 THEN 2 * {k} / (2 * {k} + {g} + length({lx})) ELSE 0 END, CASE WHEN {k} > 0 THEN 2 * {k} / (2 * {k} + {g} + length({ly})) ELSE 0 END) END"""
+
+
+FUZZY_SQL = f"""{FEATURES_SQL},
+fuzzy AS (
+  SELECT s1_id, target_id, f3 AS name_jw_sim, f17 AS addr_jw_sim, f4 AS name_token_sort, f18 AS addr_token_sort, f5 AS name_token_set, f19 AS addr_token_set, f4 * e AS cross_prod, f4 + e AS cross_sum, greatest(f4, e) AS cross_max, least(f4, e) AS cross_min
+  FROM (SELECT *, CASE WHEN ta <> '' THEN f18 ELSE f4 END AS e FROM (
+    SELECT s1_id, target_id, ta, CASE WHEN sn <> '' AND tn <> '' THEN jaro_winkler_similarity(sn, tn) ELSE 0.0 END AS f3, CASE WHEN sa <> '' AND ta <> '' THEN jaro_winkler_similarity(sa, ta) ELSE 0.0 END AS f17,
+      CASE WHEN sn <> '' AND tn <> '' THEN 2 * {_lcs('ss', 'ts')} / (length(ss) + length(ts)) ELSE 0.0 END AS f4,
+      CASE WHEN sa <> '' AND ta <> '' THEN 2 * {_lcs('sas', 'tas')} / (length(sas) + length(tas)) ELSE 0.0 END AS f18, {_token_set('n')} AS f5, {_token_set('a')} AS f19
+    FROM (SELECT *, {', '.join(f"array_to_string(list_sort(ox_{w}), ' ') AS lx_{w}, array_to_string(list_sort(oy_{w}), ' ') AS ly_{w}, length(array_to_string(c_{w}, ' ')) AS k_{w}, CASE WHEN len(c_{w}) > 0 THEN 1 ELSE 0 END AS g_{w}" for w in 'na')}
+      FROM (SELECT *, {', '.join(f"list_intersect(x_{w}, y_{w}) AS c_{w}, list_filter(x_{w}, lambda t: NOT list_contains(y_{w}, t)) AS ox_{w}, list_filter(y_{w}, lambda t: NOT list_contains(x_{w}, t)) AS oy_{w}" for w in 'na')}
+        FROM (SELECT *, {', '.join(f"list_distinct({_tokens('s' + w)}) AS x_{w}, list_distinct({_tokens('t' + w)}) AS y_{w}" for w in 'na')}, array_to_string(list_sort({_tokens('sa')}), ' ') AS sas, array_to_string(list_sort({_tokens('ta')}), ' ') AS tas FROM texts))))))"""
 
 SQL: dict[str, str] = {
     "records": _with(RECORDS_SQL, "SELECT * FROM records"),
-    "truth_links": _with(TRUTH_SQL, "SELECT * FROM truth"),
+    "truth_links": _with(f"{RECORDS_SQL},{TRUTH_SQL}", "SELECT * FROM truth"),
     "normalize_records": _with(NORMALIZED_SQL, f"SELECT entity_id, clean_name, core_name, clean_addr, array_to_string(list_sort(numbers), ',') AS numbers, sorted_name, array_to_string(list_sort({_tokens('clean_addr')}), ' ') AS sorted_addr FROM normalized"),
     "normalize_urls": f"SELECT page_id, {_clean('url')} AS clean_name FROM pages",
     "normalize_names": f"SELECT 'customer' AS kind, c_custkey AS id, {_clean('c_name')} AS clean_name FROM customer UNION ALL SELECT 'supplier', s_suppkey, {_clean('s_name')} FROM supplier UNION ALL SELECT 'part', p_partkey, {_clean('p_name')} FROM part",
@@ -427,13 +443,8 @@ SQL: dict[str, str] = {
     "shared_keys": _with(PAIRS_SQL, "SELECT * FROM paired"),
     "candidates": _with(CANDIDATES_SQL, "SELECT * FROM candidates"),
     "native_features": _with(FEATURES_SQL, "SELECT s1_id, target_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in features.NATIVE) + " FROM features"),
-    "fuzzy_features": _with(FEATURES_SQL, f"""SELECT s1_id, target_id, round(f4, 6) AS name_token_sort, round(f18, 6) AS addr_token_sort, round(f5, 6) AS name_token_set, round(f4 * e, 6) AS cross_prod, round(f4 + e, 6) AS cross_sum, round(greatest(f4, e), 6) AS cross_max, round(least(f4, e), 6) AS cross_min
-FROM (SELECT *, CASE WHEN ta <> '' THEN f18 ELSE f4 END AS e FROM (
-  SELECT s1_id, target_id, ta, CASE WHEN sn <> '' AND tn <> '' THEN 2 * {_lcs('ss', 'ts')} / (length(ss) + length(ts)) ELSE 0.0 END AS f4,
-    CASE WHEN sa <> '' AND ta <> '' THEN 2 * {_lcs('sas', 'tas')} / (length(sas) + length(tas)) ELSE 0.0 END AS f18, {_TOKEN_SET.format(lcs=_lcs('lx', 'ly'))} AS f5
-  FROM (SELECT *, array_to_string(list_sort(ox), ' ') AS lx, array_to_string(list_sort(oy), ' ') AS ly, length(array_to_string(c, ' ')) AS k, CASE WHEN len(c) > 0 THEN 1 ELSE 0 END AS g
-    FROM (SELECT *, list_intersect(x, y) AS c, list_filter(x, lambda t: NOT list_contains(y, t)) AS ox, list_filter(y, lambda t: NOT list_contains(x, t)) AS oy
-      FROM (SELECT *, list_distinct({_tokens('sn')}) AS x, list_distinct({_tokens('tn')}) AS y, array_to_string(list_sort({_tokens('sa')}), ' ') AS sas, array_to_string(list_sort({_tokens('ta')}), ' ') AS tas FROM texts)))))"""),
+    "fuzzy_features": _with(FUZZY_SQL, "SELECT s1_id, target_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in ("name_token_sort", "addr_token_sort", "name_token_set", "cross_prod", "cross_sum", "cross_max", "cross_min")) + " FROM fuzzy"),
+    "all_features": _with(FUZZY_SQL, "SELECT s1_id, target_id, " + ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in features.NAMES) + " FROM fuzzy JOIN features USING (s1_id, target_id)"),
     "scored_pairs": _with(FEATURES_SQL, "SELECT s1_id, target_id, round(p, 6) AS p FROM scored"),
     "exclusive_links": _with(FEATURES_SQL, "SELECT s1_id, target_id, round(p, 6) AS p FROM links"),
     "matched_lists": _with(FEATURES_SQL, "SELECT s.s1_id, COALESCE(string_agg(target_id, ',' ORDER BY target_id), '') AS ids FROM spine s LEFT JOIN links USING (s1_id) GROUP BY s.s1_id"),

@@ -37,6 +37,40 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} can't be moved to {target}")
 
 
+def join_files(spark: SparkSession, folder: str, target: str, header: str = "") -> None:
+    """The files of a written folder, in order, as one file. Bytes are copied by the file system's streams, one buffer at a time."""
+    fs, p = _open(spark, folder)
+    jvm, names = spark._jvm, sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-"))
+    _, whole = _open(spark, target)
+    if whole.getParent() is not None:
+        fs.mkdirs(whole.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(f"{target}.draft")
+    out = fs.create(draft, True)
+    out.write(header.encode())
+    for name in names:
+        own = fs.open(jvm.org.apache.hadoop.fs.Path(p, name))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 16, False)
+        own.close()
+    out.close()
+    rename(spark, f"{target}.draft", target)
+
+
+def write_whole(spark: SparkSession, path: str, text: str) -> None:
+    """A small text, whole or not at all."""
+    fs, _ = _open(spark, path)
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.draft"), True)
+    out.write(text.encode())
+    out.close()
+    rename(spark, f"{path}.draft", path)
+
+
+def read_whole(spark: SparkSession, path: str) -> str | None:
+    """A small text, or None if it isn't there."""
+    if not exists(spark, path):
+        return None
+    return "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _open(spark, path)
     fs.delete(p, True)

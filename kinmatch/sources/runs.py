@@ -10,10 +10,13 @@ import platform
 import resource
 import subprocess
 import time
-from collections.abc import Callable, Iterable, Mapping
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinmatch.sources.files import exists
 from kinmatch.sources.sinks import read_json, write_json
@@ -46,11 +49,17 @@ def _said(*command: str) -> str | None:
         return None
 
 
+def code_hashes() -> dict[str, str]:
+    """sha256 of each module of the package."""
+    root = Path(__file__).resolve().parent.parent
+    return {str(f.relative_to(root)): sha256_file(str(f)) for f in sorted(root.rglob("*.py"))}
+
+
 def manifest(spark: SparkSession, config: Mapping, inputs: Iterable[str] = ()) -> dict:
     """What a run depends on: code, input and settings."""
     return {
         "config": dict(config), "config_sha256": fingerprint(config), "git_commit": _said("git", "rev-parse", "HEAD"), "python": platform.python_version(),
-        "spark": spark.version, "hash_seed": os.environ.get("PYTHONHASHSEED"), "inputs": {p: sha256_file(p) for p in inputs if os.path.isfile(p)},
+        "spark": spark.version, "code": code_hashes(), "memory_bytes": os.sysconf("SC_PHYS_PAGES") * os.sysconf("SC_PAGE_SIZE"), "hash_seed": os.environ.get("PYTHONHASHSEED"), "inputs": {p: sha256_file(p) for p in inputs if os.path.isfile(p)},
         "gpu": _said("nvidia-smi", "--query-gpu=name", "--format=csv,noheader"), "dependencies": {m: importlib.util.find_spec(m) is not None for m in ("pyspark", "pandas", "pyarrow", "numpy")},
     }
 
@@ -71,19 +80,32 @@ def in_chunks(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("chunk", F.floor(F.col("ordinal") / size).cast("long"))
 
 
-def resumable(rows: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame], chunk: str = "chunk", at_once: int = 64) -> DataFrame:
-    """make(rows of some chunks) for every chunk, written once; a later call makes only chunks that aren't finished.
+def finished(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(chunk columns, batch) of all chunks whose output is complete, or None before the first."""
+    log = f"{folder}/_finished"
+    return spark.read.parquet(log) if exists(spark, f"{log}/_SUCCESS") else None
+
+
+def resumable(rows: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame], chunk: str | Sequence[str] = "chunk", at_once: int = 64) -> DataFrame:
+    """make(rows of some chunks) for every chunk, made once; a later call makes only chunks that aren't finished.
 
-    Chunks are made ``at_once`` in one job and written by a commit of their own, so an interrupted run loses that much at most.
+    Chunks (a column or several, such as country and number) are made ``at_once`` in one job, each batch in a folder of its own. When a
+    batch is written, its chunks go to the log of finished ones, and only what the log names is ever read: a batch that was cut off
+    is made again, and calls may differ in ``at_once``.
     """
-    spark = rows.sparkSession
-    todo = sorted(r[0] for r in rows.select(chunk).distinct().collect())  # a number per chunk
+    spark, keys = rows.sparkSession, [chunk] if isinstance(chunk, str) else list(chunk)
+    asked, done = rows.select(*keys).distinct(), finished(spark, folder)
+    todo = sorted((tuple(r) for r in (asked if done is None else asked.join(done.select(*keys), keys, "left_anti")).collect()), key=repr)  # a row per chunk
+    schema = T.StructType([rows.schema[k] for k in keys])
     for i in range(0, len(todo), at_once):
-        batch = todo[i : i + at_once]
-        path = f"{folder}/from={batch[0]}"
-        if not exists(spark, f"{path}/_SUCCESS"):
-            make(rows.where(F.col(chunk).between(batch[0], batch[-1]))).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(f"{folder}/from=*")
+        chunks = spark.createDataFrame(todo[i : i + at_once], schema)
+        batch = f"batch-{uuid.uuid4().hex}"
+        make(rows.join(F.broadcast(chunks), keys, "left_semi")).write.option("compression", "zstd").parquet(f"{folder}/{batch}")  # at_once rows
+        chunks.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(f"{folder}/_finished")
+    done = finished(spark, folder)
+    if done is None:
+        return make(rows)  # no chunk, no rows
+    return spark.read.parquet(*[f"{folder}/{r.batch}" for r in done.select("batch").distinct().collect()])
 
 
 class Telemetry:
@@ -94,7 +116,8 @@ class Telemetry:
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
 
     def event(self, stage: str, **more) -> dict:
-        row = {"timestamp": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "wall_seconds": round(time.monotonic() - self.began, 3), "stage": stage, "peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024} | more
+        free = os.sysconf("SC_AVPHYS_PAGES") * os.sysconf("SC_PAGE_SIZE")
+        row = {"timestamp": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "wall_seconds": round(time.monotonic() - self.began, 3), "stage": stage, "peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024, "available_bytes": free} | more
         with open(self.path, "a", encoding="utf-8") as f:
             f.write(json.dumps(row, default=str) + "\n")
         return row

@@ -65,6 +65,22 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.select("s1_id", "ordinal"), rows.select("s1_id", F.explode(F.array_distinct(ids)).alias("target_id"))
 
 
+def read_selected_truth(spark: SparkSession, path: str, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As read_truth, for the S1 ids of ``selected`` (entity_id, ordinal) only and in their order.
+
+    A selected id without a row, or with more than one, is an error.
+    """
+    rows = _tsv(spark, path, TRUTH).withColumnRenamed(TRUTH[0], "s1_id")
+    asked = selected.select(F.col("entity_id").alias("s1_id"), F.col("ordinal").alias("_place"))
+    counts = asked.join(rows.groupBy("s1_id").agg(F.count("*").alias("n")), "s1_id", "left")
+    wrong = counts.where("n is null or n > 1").orderBy("_place").limit(5).collect()
+    if wrong:
+        raise InputError("; ".join(f"{r.s1_id} has {'no row' if r.n is None else f'{r.n} rows'} in {path}" for r in wrong))
+    spine, links = read_truth(spark, path)
+    chosen = spine.drop("ordinal").join(asked, "s1_id").select("s1_id", F.col("_place").alias("ordinal"))
+    return chosen, links.join(asked.select("s1_id"), "s1_id", "left_semi")
+
+
 def read_ids(spark: SparkSession, path: str, limit: int | None = None, strict: bool = False) -> DataFrame:
     """entity_id, ordinal of a list with an id on each line, blank lines dropped; the first ``limit``.
 
@@ -116,7 +132,7 @@ def require_ids(records: DataFrame) -> DataFrame:
     """The records, unless one has a blank id."""
     first = records.where(F.trim("entity_id") == "").agg(F.min("ordinal")).first()[0]
     if first is not None:
-        raise InputError(f"a record has a blank id, at line {first + 2}")
+        raise InputError(f"record {records.where(F.col('ordinal') < first).count() + 1} has a blank id")
     return records
 
 

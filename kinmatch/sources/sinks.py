@@ -7,35 +7,34 @@ import os
 import tempfile
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.operators.decide import matched_lists
-from kinmatch.sources.files import remove, rename
+from kinmatch.sources.files import join_files, read_whole, remove, write_whole
+
+
+def _write_tsv(rows: DataFrame, path: str) -> None:
+    """One file of all columns but ordinal, in its order: ranges are sorted and written in parallel, then their files are joined."""
+    spark, part = rows.sparkSession, f"{path}.parts"
+    columns = [c for c in rows.columns if c != "ordinal"]
+    # sorted within a range of its own, so no task sorts or writes the whole; AQE may not reorder ranges
+    ordered = rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select(*columns)
+    as_is = {"sep": "\t", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    ordered.write.mode("overwrite").options(**as_is).csv(part)
+    join_files(spark, part, path, "\t".join(columns) + "\n")
+    remove(spark, part)
 
 
 def write_result_tsv(spine: DataFrame, links: DataFrame, path: str, id_column: str) -> None:
-    """One row per S1 of the spine (s1_id, ordinal) in its order: the sorted distinct ids, comma-separated, no quotes.
-
-    One file is the format's; rows are sorted in parallel and written by one task at the end.
-    """
-    spark = spine.sparkSession
+    """One row per S1 of the spine (s1_id, ordinal) in its order: the sorted distinct ids, comma-separated, no quotes."""
     rows = matched_lists(spine, links, "ids").select(F.col("s1_id").alias("source1_entity_id"), F.array_join("ids", ",").alias(id_column), "ordinal")
-    part = f"{path}.parts"
-    rows.orderBy("ordinal").drop("ordinal").coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(part)
-    name = next(f.rpartition("/")[2] for f in spark.read.text(part).inputFiles())
-    rename(spark, f"{part}/{name}", path)
-    remove(spark, part)
+    _write_tsv(rows, path)
 
 
 def write_records(rows: DataFrame, path: str) -> None:
     """Records back to a TSV of the input's format, in file order."""
-    spark = rows.sparkSession
-    part = f"{path}.parts"
-    rows.orderBy("ordinal").select("entity_id", "business_name", "business_address", "country").coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(part)
-    name = next(f.rpartition("/")[2] for f in spark.read.text(part).inputFiles())
-    rename(spark, f"{part}/{name}", path)
-    remove(spark, part)
+    _write_tsv(rows.select("entity_id", "business_name", "business_address", "country", "ordinal"), path)
 
 
 def write_table(rows: DataFrame, path: str, *partition_by: str) -> None:
@@ -56,7 +55,10 @@ def write_diagnostics(candidates: DataFrame, truth: DataFrame, path: str) -> Non
 
 
 def write_text(path: str, text: str) -> None:
-    """On the driver: whole or not at all."""
+    """From the driver: whole or not at all. A path with a scheme goes through Spark's file system, like the tables beside it."""
+    if "://" in path or path.startswith("file:"):
+        write_whole(SparkSession.active(), path, text)
+        return
     folder = os.path.dirname(path) or "."
     os.makedirs(folder, exist_ok=True)
     with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=folder, delete=False) as f:
@@ -70,10 +72,18 @@ def write_json(path: str, value: object) -> None:
 
 def read_json(path: str, defaults: Mapping | None = None) -> dict:
     """A JSON object over defaults; a missing file gives the defaults, if there are any."""
-    if defaults is not None and not os.path.exists(path):
+    if "://" in path or path.startswith("file:"):
+        text = read_whole(SparkSession.active(), path)
+    elif os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    else:
+        text = None
+    if text is None:
+        if defaults is None:
+            raise FileNotFoundError(path)
         return dict(defaults)
-    with open(path, encoding="utf-8") as f:
-        return dict(defaults or {}) | json.load(f)
+    return dict(defaults or {}) | json.loads(text)
 
 
 def report_text(title: str, sections: Mapping[str, object]) -> str:

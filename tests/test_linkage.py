@@ -58,6 +58,20 @@ def test_observed_scripts(spark):
     assert got[0].startswith("cafe ") and got[0].isascii() and len(got[0]) > 5 and got[1] == "plain"
 
 
+def test_many_scripts(spark):
+    """Thousands of characters beyond ASCII go through one function, not through as many nested expressions."""
+    signs = "".join(chr(0x4E00 + i) for i in range(5000))
+    frame = spark.createDataFrame([(signs[i : i + 50],) for i in range(0, 5000, 50)] + [("plain",)], "t string")
+    table = text.observed_table(frame, "t")
+    got = [r[0] for r in frame.select(text.clean(F.col("t"), table)).collect()]
+    assert len(table) > 4900 and got[-1] == "plain" and all(g and g.isascii() for g in got)
+
+
+def test_signs(spark):
+    frame = spark.createDataFrame([("4½ × 20° Straße £5",)], "t string")
+    assert [r[0] for r in frame.select(text.clean(F.col("t"))).collect()] == ["41 2 x 20deg strasse ps5"]
+
+
 def test_keys_of_one_record(spark):
     rows = blocking.blocking_keys(text.normalize(records(spark, ("S1-1", "Alpha Foods", "10 Main St", "US")))).collect()
     assert {(r.key_type, r.key_value) for r in rows} == {
@@ -225,6 +239,8 @@ def test_link_faults(spark):
     assert {tuple(r) for r in found.collect()} == {("unexpected", "S1-9"), ("namespace", "S1-1"), ("not_a_candidate", "S1-9"), ("not_a_candidate", "S1-1")}
 
 
-def test_candidate_set_hash_ignores_order(spark, sf_dir):
-    pairs = queries.candidates(spark, sf_dir)
-    assert evaluate.candidate_set_hash(pairs) == evaluate.candidate_set_hash(pairs.orderBy(F.rand(3))) != evaluate.candidate_set_hash(pairs.limit(5))
+def test_candidate_set_hash_is_of_the_order(spark, sf_dir):
+    pairs, spine = queries.candidates(spark, sf_dir), queries._spine(spark, sf_dir)
+    one = evaluate.candidate_set_hash(pairs, spine)
+    assert one == evaluate.candidate_set_hash(pairs.orderBy(F.rand(3)), spine) != evaluate.candidate_set_hash(pairs.limit(5), spine)
+    assert one != evaluate.candidate_set_hash(pairs, spine.withColumn("ordinal", -F.col("ordinal")))

@@ -67,7 +67,7 @@ def test_ids(spark, tsv):
     assert scans.select_records(known, scans.read_ids(spark, path)).count() == 2
     with pytest.raises(scans.InputError):
         scans.select_records(known, spark.createDataFrame([("S1-9",)], "entity_id string"))
-    with pytest.raises(scans.InputError, match="line 3"):
+    with pytest.raises(scans.InputError, match="record 2"):
         scans.require_ids(scans.read_records(spark, tsv("b.tsv", "S1-1\tx\ty\tUS\n\tx\ty\tUS\n")))
 
 
@@ -152,6 +152,18 @@ def test_runs(spark, tmp_path):
 
     assert runs.resumable(rows, str(tmp_path / "chunks"), make, at_once=2).count() == 10 and made == [4, 4, 2]
     assert runs.resumable(rows, str(tmp_path / "chunks"), make, at_once=2).count() == 10 and made == [4, 4, 2]
+
+    def broken(part):
+        if len(made) > 3:
+            raise InterruptedError
+        return make(part)
+
+    # cut off after a batch of two chunks, gone on with batches of another size: every row once
+    with pytest.raises(InterruptedError):
+        runs.resumable(rows, str(tmp_path / "cut"), broken, at_once=2)
+    for at_once in (64, 1):
+        assert sorted(r.ordinal for r in runs.resumable(rows, str(tmp_path / "cut"), make, at_once=at_once).collect()) == list(range(10))
+    assert made == [4, 4, 2, 4, 6]
     log = runs.Telemetry(str(tmp_path / "t.jsonl"))
     log.event("a", rows=3)
     assert json.loads((tmp_path / "t.jsonl").read_text())["rows"] == 3
