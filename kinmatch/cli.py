@@ -55,7 +55,7 @@ def train(spark: SparkSession, args: argparse.Namespace) -> int:
     fitted = linkage.train(records, truth, fit, args.kind, linkage.Config(top_k=args.top_k), args.distractors, **({"maxIter": args.trees} if args.trees else {}))
     grid, found = linkage.validate_model(records, truth, held, linkage.trained(fitted), linkage.Config(top_k=args.top_k))
     fitted.save(f"{args.model}/trees")
-    metadata = {k: v for k, v in found.items() if k not in ("s2_threshold", "s3_threshold")} | {"best_s2_threshold": found["s2_threshold"], "best_s3_threshold": found["s3_threshold"], "model": fitted.describe()}
+    metadata = {k: v for k, v in found.items() if k not in ("s2_threshold", "s3_threshold")} | {"best_s2_threshold": found["s2_threshold"], "best_s3_threshold": found["s3_threshold"], "model": fitted.describe(), "top_k": args.top_k}
     sinks.write_json(f"{args.model}/model_metadata.json", metadata)
     print(sinks.report_text("Training", {"metrics": {k: v for k, v in metadata.items() if isinstance(v, int | float)}}))
     return 0
@@ -66,6 +66,8 @@ def link(spark: SparkSession, args: argparse.Namespace) -> int:
     said: list[str] = []
     log = runs.Telemetry(f"{args.output}/telemetry.jsonl")
     metadata = sinks.read_json(f"{args.model}/model_metadata.json", DEFAULTS) if args.model else dict(DEFAULTS)
+    if metadata.get("top_k", args.top_k) != args.top_k:
+        raise scans.InputError(f"the model was trained on the first {metadata['top_k']} candidates; --top-k {args.top_k} is refused")
     scorer = linkage.trained(model.PairModel.load(f"{args.model}/trees")) if args.model else linkage.linear
     records, chosen = load(spark, args.data, said), config(args, metadata)
     table = observed_table(records, "business_name", "business_address")

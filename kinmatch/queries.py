@@ -188,7 +188,7 @@ def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reduced_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = doc_records(spark, sf_dir).where("source <> 'S1'")
-    return model.reduced_pool(targets, doc_truth(spark, sf_dir), 100).select("entity_id", "source", "ordinal")
+    return model.reduced_pool(targets, doc_truth(spark, sf_dir)).select("entity_id", "source", "ordinal")
 
 
 def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +213,20 @@ def blocking_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.unionByName(evaluate.blocking_study(truth, blocking.candidates(s1, targets, None, None, None)).withColumn("caps", F.lit(False)))
 
 
+def blocking_study_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As blocking_study, each source's targets with an index and caps of their own."""
+    known = text.normalize(doc_records(spark, sf_dir))
+    s1, targets, truth = known.where("source = 'S1'"), known.where("source <> 'S1'"), doc_truth(spark, sf_dir)
+    out = None
+    for caps, limits in ((True, (CONFIG.common_limit, CONFIG.rare_limit)), (False, (None, None))):
+        pairs = blocking.candidates_by_source(s1, targets, None, *limits)
+        for source in ("S2", "S3"):
+            own = evaluate.blocking_study(truth.where(F.col("target_id").startswith(source)), pairs.where(F.col("source") == source))
+            row = own.withColumns({"source": F.lit(source), "caps": F.lit(caps)})
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def candidates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = text.normalize(doc_records(spark, sf_dir))
     return blocking.candidates_by_source(known.where("source = 'S1'"), known.where("source <> 'S1'"), CONFIG.top_k, CONFIG.common_limit, CONFIG.rare_limit)
@@ -228,7 +242,8 @@ def target_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.retrieval_categories(doc_truth(spark, sf_dir), _candidates(spark, sf_dir), 5)
+    """Against an index over all countries, within the first 20."""
+    return evaluate.retrieval_categories(doc_truth(spark, sf_dir), candidates_across_countries(spark, sf_dir), 20)
 
 
 def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +280,7 @@ _FUNCTIONS = (
     records, truth_links, normalize_records, normalize_urls, normalize_names, char_ngrams, countries, last_of_each, blocking_keys, postings, capped_keys, shared_keys,
     candidates, native_features, fuzzy_features, all_features, scored_pairs, exclusive_links, matched_lists, entity_scores, metrics, metrics_by_country, source_report,
     link_metrics, candidate_recall, candidate_histogram, candidate_statistics, restricted_oracle, error_decomposition, source_threshold_grid, global_threshold_grid,
-    training_pairs, reduced_pool, boosted_scores, candidate_hashes, density, blocking_study, candidates_by_source, candidates_across_countries, target_universe, retrieval_categories, link_summary, rule_offenders, outside_candidates, select_and_exclude,
+    training_pairs, reduced_pool, boosted_scores, candidate_hashes, density, blocking_study, blocking_study_by_source, candidates_by_source, candidates_across_countries, target_universe, retrieval_categories, link_summary, rule_offenders, outside_candidates, select_and_exclude,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _FUNCTIONS}
 
@@ -404,6 +419,7 @@ def _with(ctes: str, select: str) -> str:
 
 _ALL = f"{FEATURES_SQL},{TRUTH_SQL}"
 _RANKED = f"{CANDIDATES_SQL},{TRUTH_SQL}, spine AS (SELECT entity_id AS s1_id, country, ordinal FROM records WHERE source = 'S1')"
+_ACROSS = CANDIDATES_SQL.replace("SELECT country, split_part", "SELECT '' AS country, split_part")
 _PER = "SELECT s.s1_id, count(c.target_id) AS n FROM spine s LEFT JOIN candidates c USING (s1_id) GROUP BY ALL"
 _SOURCE = lambda p: f"""SELECT m.*, '{p}' AS source, (SELECT count(*) FROM candidates WHERE starts_with(target_id, '{p}')) AS candidate_pairs,
   (SELECT count(*) FROM truth JOIN candidates USING (s1_id, target_id) WHERE starts_with(target_id, '{p}')) AS retrieved,
@@ -476,19 +492,26 @@ FROM (SELECT left(COALESCE(t.target_id, l.target_id), 2) AS source, count(CASE W
 UNION ALL SELECT s1_id, target_id, shared_keys, 0 FROM (
   SELECT c.*, row_number() OVER (PARTITION BY c.s1_id ORDER BY rank) AS k, COALESCE(n, 0) AS n FROM candidates c LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth GROUP BY 1) USING (s1_id) ANTI JOIN truth t ON t.s1_id = c.s1_id AND t.target_id = c.target_id) WHERE k <= greatest(2, 2 * n)"""),
     "reduced_pool": _with(f"{RECORDS_SQL},{TRUTH_SQL}", """SELECT entity_id, source, ordinal FROM records WHERE source <> 'S1' AND entity_id IN (SELECT target_id FROM truth)
-UNION ALL SELECT entity_id, source, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ordinal) AS k FROM records WHERE source <> 'S1' AND entity_id NOT IN (SELECT target_id FROM truth)) WHERE k <= 100"""),
+UNION ALL SELECT entity_id, source, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ordinal) AS k FROM records WHERE source <> 'S1' AND entity_id NOT IN (SELECT target_id FROM truth)) WHERE k <= 50000"""),
     "candidate_hashes": _with(CANDIDATES_SQL, "SELECT s1_id, sha256(string_agg(s1_id || '|' || target_id || '|' || rank || '|' || shared_keys || chr(10), '' ORDER BY rank)) AS hash FROM candidates GROUP BY s1_id"),
     "density": _with(RECORDS_SQL, "SELECT source, country, count(*) AS records, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS percent FROM records GROUP BY source, country"),
     "blocking_study": _with(f"""{_RANKED}, free AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY shared_keys DESC, target_id) AS rank FROM (
   SELECT s.entity_id AS s1_id, t.entity_id AS target_id, count(*) AS shared_keys FROM keys s JOIN keys t USING (country, key_type, key_value) WHERE s.source = 'S1' AND t.source <> 'S1' GROUP BY ALL)),
   held AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY shared_keys DESC, target_id) AS rank FROM paired)""", "SELECT count(*) AS links, count(rank) AS hit_all, count(CASE WHEN rank <= 20 THEN 1 END) AS hit_20, count(CASE WHEN rank <= 50 THEN 1 END) AS hit_50, true AS caps FROM truth LEFT JOIN held USING (s1_id, target_id) UNION ALL SELECT count(*), count(rank), count(CASE WHEN rank <= 20 THEN 1 END), count(CASE WHEN rank <= 50 THEN 1 END), false FROM truth LEFT JOIN free USING (s1_id, target_id)"),
+    "blocking_study_by_source": _with(f"""{KEYS_SQL},{TRUTH_SQL},
+by_source AS (SELECT source, country, key_type, key_value, count(*) <= CASE WHEN key_type IN ('sort_n', 'addr_pair') THEN {CONFIG.rare_limit} ELSE {CONFIG.common_limit} END AS within FROM keys WHERE source <> 'S1' GROUP BY source, country, key_type, key_value),
+free AS (SELECT s.entity_id AS s1_id, t.entity_id AS target_id, t.source, count(*) AS every, count(CASE WHEN within THEN 1 END) AS held FROM keys s JOIN keys t USING (country, key_type, key_value)
+  JOIN by_source b ON b.source = t.source AND b.country = t.country AND b.key_type = t.key_type AND b.key_value = t.key_value WHERE s.source = 'S1' GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s1_id, source ORDER BY every DESC, target_id) AS r0, row_number() OVER (PARTITION BY s1_id, source ORDER BY held DESC, target_id) AS r1 FROM free),
+both_caps AS (SELECT s1_id, target_id, false AS caps, r0 AS rank FROM ranked UNION ALL SELECT s1_id, target_id, true, r1 FROM ranked WHERE held > 0)""", """SELECT left(t.target_id, 2) AS source, c.caps, count(*) AS links, count(rank) AS hit_all, count(CASE WHEN rank <= 20 THEN 1 END) AS hit_20, count(CASE WHEN rank <= 50 THEN 1 END) AS hit_50
+FROM truth t CROSS JOIN (VALUES (true), (false)) c(caps) LEFT JOIN both_caps b ON b.s1_id = t.s1_id AND b.target_id = t.target_id AND b.caps = c.caps GROUP BY ALL"""),
     "candidates_by_source": _with(f"""{KEYS_SQL},
 by_source AS (SELECT source, country, key_type, key_value FROM keys WHERE source <> 'S1' GROUP BY ALL HAVING count(*) <= CASE WHEN key_type IN ('sort_n', 'addr_pair') THEN {CONFIG.rare_limit} ELSE {CONFIG.common_limit} END),
 pairs AS (SELECT s.entity_id AS s1_id, t.entity_id AS target_id, t.source, count(*) AS shared_keys FROM keys s JOIN keys t USING (country, key_type, key_value) JOIN by_source b ON b.source = t.source AND b.country = t.country AND b.key_type = t.key_type AND b.key_value = t.key_value
   WHERE s.source = 'S1' GROUP BY ALL)""", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id, source ORDER BY shared_keys DESC, target_id) AS INTEGER) AS rank FROM pairs) WHERE rank <= {CONFIG.top_k}"),
-    "candidates_across_countries": _with(CANDIDATES_SQL.replace("SELECT country, split_part", "SELECT '' AS country, split_part"), "SELECT * FROM candidates"),
+    "candidates_across_countries": _with(_ACROSS, "SELECT * FROM candidates"),
     "target_universe": _with(CANDIDATES_SQL, "SELECT left(target_id, 2) AS source, count(*) AS pairs, count(DISTINCT target_id) AS targets FROM candidates GROUP BY 1"),
-    "retrieval_categories": _with(_RANKED, "SELECT CASE WHEN rank <= 5 THEN 'within_k' WHEN rank IS NOT NULL THEN 'retrieved' ELSE 'not_retrieved' END AS category, count(*) AS links FROM truth LEFT JOIN candidates USING (s1_id, target_id) GROUP BY 1"),
+    "retrieval_categories": _with(f"{_ACROSS},{TRUTH_SQL}", "SELECT CASE WHEN rank <= 20 THEN 'within_k' WHEN rank IS NOT NULL THEN 'retrieved' ELSE 'not_retrieved' END AS category, count(*) AS links FROM truth LEFT JOIN candidates USING (s1_id, target_id) GROUP BY 1"),
     "link_summary": _with(_ALL, "SELECT count(*) AS entities, count(CASE WHEN n = 0 THEN 1 END) AS singletons, count(CASE WHEN n > 0 THEN 1 END) AS matched, CAST(sum(n2) AS BIGINT) AS s2_links, CAST(sum(n) - sum(n2) AS BIGINT) AS s3_links FROM (SELECT s.s1_id, count(target_id) AS n, count(CASE WHEN starts_with(target_id, 'S2-') THEN 1 END) AS n2 FROM spine s LEFT JOIN links USING (s1_id) GROUP BY 1)"),
     "outside_candidates": _with(_RANKED, "SELECT DISTINCT s1_id FROM truth t ANTI JOIN candidates c USING (s1_id, target_id)"),
     "select_and_exclude": _with(f"{RECORDS_SQL},{TRUTH_SQL}", "SELECT entity_id, CASE WHEN entity_id IN (SELECT target_id FROM truth) THEN 'selected' ELSE 'excluded' END AS kind FROM records WHERE source <> 'S1'"),

@@ -12,17 +12,23 @@ from pyspark.sql.streaming import StreamingQuery
 from kinmatch.functions.text import normalize
 from kinmatch.operators import blocking, decide
 from kinmatch.plans.linkage import Config, Scorer, linear, score_candidates
+from kinmatch.sources.shared import kept
 
 RECORD = "entity_id string, business_name string, business_address string, country string, ordinal long, source string"
 
 
 def link_stream(spark: SparkSession, arrivals: str, targets: DataFrame, scores: str, checkpoint: str, scorer: Scorer = linear, config: Config = Config(), **trigger) -> StreamingQuery:  # noqa: B008
-    """Scores the Parquet records that arrive in a folder into the table ``scores``; an interrupted batch is written again, not twice."""
-    known = normalize(targets)
+    """Scores the Parquet records that arrive in a folder into the table ``scores``; an interrupted batch is written again, not twice.
+
+    The targets are normalized, keyed and their keys capped once, when the stream starts.
+    """
+    known = kept(normalize(targets), "stream-targets")
+    keys = blocking.blocking_keys(known)
+    keys = kept(keys.join(blocking.capped_keys(keys, config.common_limit, config.rare_limit).select(*blocking.KEY), blocking.KEY, "left_semi"), "stream-keys")
 
     def score(batch: DataFrame, number: int) -> None:
         s1 = normalize(batch)
-        pairs = blocking.candidates(s1, known, config.top_k, config.common_limit, config.rare_limit)
+        pairs = blocking.top_candidates(blocking.shared_keys(blocking.blocking_keys(s1), keys, None, None), config.top_k)
         score_candidates(s1, known, pairs, scorer).write.mode("overwrite").parquet(f"{scores}/batch={number}")
 
     stream = spark.readStream.schema(RECORD).parquet(arrivals)
