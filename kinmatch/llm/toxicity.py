@@ -100,18 +100,51 @@ def log_count_ratios(clean: np.ndarray, bad: np.ndarray, s: Settings) -> tuple[n
     return ratio, np.abs(ratio) / np.sqrt(1 / clean + 1 / bad)
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, features: int, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the ridge-penalised logistic loss of a sparse matrix.
+class Design:
+    """The sparse matrix x = ratio * [the document has the feature]: only the features of each document are held, four bytes each.
+
+    Products go over a portion of documents after another, so what they take beside it is bounded too.
+    """
+
+    def __init__(self, columns: np.ndarray, at: np.ndarray, ratio: np.ndarray, portion: int = 1 << 19):
+        self.columns, self.at, self.ratio = columns, at, ratio
+        self.parts, first = [], 0
+        while first < len(at) - 1:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + portion, "right")) - 1)
+            self.parts.append((first, last))
+            first = last
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """A sum for each document."""
+        scaled, out = self.ratio * w, np.zeros(len(self.at) - 1)
+        for first, last in self.parts:
+            values = scaled[self.columns[self.at[first] : self.at[last]]]
+            filled = np.flatnonzero(self.at[first + 1 : last + 1] > self.at[first:last])
+            if len(filled):
+                out[first + filled] = np.add.reduceat(values, self.at[first:last][filled] - self.at[first])
+        return out
+
+    def transposed(self, g: np.ndarray) -> np.ndarray:
+        """A sum for each feature."""
+        out = np.zeros(len(self.ratio))
+        for first, last in self.parts:
+            each = np.repeat(g[first:last], np.diff(self.at[first : last + 1]))
+            out += np.bincount(self.columns[self.at[first] : self.at[last]], each, len(out))
+        return out * self.ratio
+
+
+def fit_logistic(x: Design, y: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent on the ridge-penalised logistic loss.
 
     Both classes weigh the same together, so a rare class isn't scored too low.
     """
-    n = len(y)
+    n, features = len(y), len(x.ratio)
     weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
     w, b = np.zeros(features), 0.0
     # the largest eigenvalue of the weighted matrix, by power iteration, gives the step
     v, norm = np.ones(features), 0.0
     for _ in range(12):
-        u = np.bincount(columns, values * (weight * np.bincount(rows, values * v[columns], n))[rows], features)
+        u = x.transposed(weight * x.times(v))
         norm = np.linalg.norm(u) / max(np.linalg.norm(v), 1e-300)
         if not norm:
             break
@@ -120,9 +153,9 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: n
     pw, pb = w, b
     for t in range(steps):
         ew, eb = w + t / (t + 3) * (w - pw), b + t / (t + 3) * (b - pb)
-        g = weight * (1 / (1 + np.exp(-np.clip(np.bincount(rows, values * ew[columns], n) + eb, -40, 40))) - y)
+        g = weight * (1 / (1 + np.exp(-np.clip(x.times(ew) + eb, -40, 40))) - y)
         pw, pb = w, b
-        w = ew - size * (np.bincount(columns, values * g[rows], features) + ridge * ew)
+        w = ew - size * (x.transposed(g) + ridge * ew)
         b = eb - size * g.sum()
     return w, float(b)
 
@@ -153,10 +186,13 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:  # noq
     sums = np.zeros((2, bins))
     held = np.asarray(total.column("bin"))
     sums[0][held], sums[1][held] = np.asarray(total.column("clean")), np.asarray(total.column("bad"))
+    del total
+    pa.default_memory_pool().release_unused()
     held = np.sort(held)
     ratio, z = log_count_ratios(sums[0][held], sums[1][held], s)
     told = z >= min(s.least_z, z.max(initial=0.0) / 2)
     held, ratio = held[told], ratio[told]
+    del sums, z, told
     slot = np.full(bins, -1, np.int32)
     slot[held] = np.arange(len(held))
 
@@ -170,8 +206,12 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:  # noq
     got = rows.select(F.xxhash64("doc_id", "text").alias("h"), "toxic", "text").mapInArrow(features, "h long, toxic int, feature array<int>").toArrow().sort_by([("h", "ascending"), ("toxic", "ascending")])
     y = np.asarray(got.column("toxic"), np.float64)
     lists = got.column("feature").combine_chunks()
-    columns, sizes = np.asarray(lists.flatten(), np.int64), np.diff(np.asarray(lists.offsets))
-    w, b = fit_logistic(np.repeat(np.arange(len(y)), sizes), columns, ratio[columns], y, len(held), s.ridge, s.steps)
+    del got
+    at = np.asarray(lists.offsets).astype(np.int64)
+    x = Design(np.asarray(lists.flatten()), at - at[0], ratio)
+    w, b = fit_logistic(x, y, s.ridge, s.steps)
+    del x, lists
+    pa.default_memory_pool().release_unused()
     return Model(s, slot, (w * ratio).astype(np.float32), b)
 
 
