@@ -12,7 +12,7 @@ from kinmatch.operators import decide, evaluate, features, model, quality
 from kinmatch.plans import linkage
 from kinmatch.plans.views import RECORDS_SQL, TRUTH_SQL, doc_records, doc_truth
 from kinmatch.sources import files, runs, scans, sinks
-from kinmatch.sources.shared import new_path
+from kinmatch.sources.shared import kept, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 RECORD = ["entity_id", "business_name", "business_address", "country"]
@@ -312,16 +312,16 @@ def planted_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def saved_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both kinds of model with few trees: fitted, saved, loaded, and scoring all candidates."""
-    known, truth, spine = doc_records(spark, sf_dir), doc_truth(spark, sf_dir), _spine(spark, sf_dir).select("s1_id")
-    retrieved = queries._retrieved(spark, sf_dir)
-    out = None
+    s1, targets, pairs = queries._retrieved(spark, sf_dir)
+    linked = doc_truth(spark, sf_dir).select("s1_id", "target_id", F.lit(1).alias("label"))
+    rows = features.pair_features(pairs, s1, targets).join(linked, ["s1_id", "target_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    rows, out = kept(rows, "pairs"), None
     for kind in sorted(model.PRESETS):
-        fitted = linkage.train(known, truth, spine, kind, queries.CONFIG, maxIter=2, maxDepth=4)
+        fitted = model.PairModel(kind, maxIter=2, maxDepth=4).fit(rows)
         path = new_path(spark, "model")
         fitted.save(path)
-        first, second = (linkage.score_candidates(*retrieved, linkage.trained(m)) for m in (fitted, model.PairModel.load(path, kind)))
-        both = first.select("s1_id", "target_id", "p").join(second.select("s1_id", "target_id", F.col("p").alias("q")), ["s1_id", "target_id"])
-        row = both.agg(F.lit(kind).alias("kind"), F.count("*").alias("pairs"), F.bool_and((F.col("p") >= 0) & (F.col("p") <= 1)).alias("probabilities"), F.bool_and(F.col("p") == F.col("q")).alias("same_after_loading"))
+        scored = model.PairModel.load(path, kind).probability(fitted.probability(rows, "p"), "q")
+        row = scored.agg(F.lit(kind).alias("kind"), F.count("*").alias("pairs"), F.bool_and((F.col("p") >= 0) & (F.col("p") <= 1)).alias("probabilities"), F.bool_and(F.col("p") == F.col("q")).alias("same_after_loading"))
         row = row.withColumn("features", F.lit(len(fitted.describe()["features"])))
         out = row if out is None else out.unionByName(row)
     return out
