@@ -5,12 +5,14 @@ Equal windows have equal anchors at equal places, so windows can only match with
 windows with one anchor are one record: its bytes are the union of its windows. A record travels as two hashes, its 16-gram's
 (key) and its content's; only contents under a key with several different contents are fetched, one copy of each.
 
-The index. A shard takes records in batches. A batch's windows are put in suffix order (the order of their bytes, to a depth of 200) in
-an array with the first eight bytes of each; neighbours with a common prefix of 200 match. The array is merge-scanned against every
-level of the index: stretches of both that agree in the first eight bytes are brought into one order, and neighbours from either
-side with a common prefix of 200 match. Then it becomes a level, and while the two last levels are of a size, they merge, in one pass
-over both. So each window is merged a number of times that grows with the logarithm of the batches. Common prefixes are found by
-bisection over prefix hashes; bytes confirm every match. The levels live as long as their shard's task; nothing is kept between runs.
+The index. A task takes its shards' records in batches, bounded in windows and bytes. A batch's windows are put in suffix order (by shard, and
+within it by their bytes, to a depth of 200) in an array with the head of each, its shard and as many first bits as 64 leave room for;
+neighbours with a common prefix of 200 match. The array is merge-scanned against every level of the index: stretches of both that agree in their heads
+are brought into one order, and neighbours from either side with a common prefix of 200 match. Then it becomes a level, and while the
+two last levels are of a size, they merge, in one pass over both. So each window is merged a number of times that grows with the
+logarithm of the batches. Common prefixes are found by bisection over prefix hashes; bytes confirm every match. A family of levels ends
+with a shard once it holds the bytes of ``FAMILY_BATCHES`` batches; a window can have up to 200 bytes of its own, so windows alone
+wouldn't bound its memory.
 
 Copies. Records of equal key and content (two 64-bit hashes) are occurrences of one stretch of text and match without their bytes; one
 copy of each content goes to the index.
@@ -36,14 +38,17 @@ from pyspark.sql import functions as F
 from kinmatch.llm.common import discard, ragged, release, slices, with_identity, written
 
 LENGTH, GRAM = 200, 16
-#: Windows of a batch, and different contents of a key that one slice takes.
-BATCH_WINDOWS, SLICE_CONTENTS = 1 << 18, 2_000
+#: Windows and bytes of a batch, whichever is reached first; batches' bytes after which a family ends with a shard; different contents
+#: of a key that one slice takes.
+BATCH_WINDOWS, BATCH_BYTES, FAMILY_BATCHES, SLICE_CONTENTS = 1 << 17, 1 << 19, 8, 2_000
 #: Distances that a window's start can have from its anchor.
 DISTANCES = LENGTH - GRAM + 1
 
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTE_VALUE = np.random.default_rng(20_240_207).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FINGER = pow(int(C1), -1, 1 << 64)
+FINGER = np.uint64(pow(int(C1), -1, 1 << 64))
+FETCHED = pa.schema([("key", pa.int64()), ("slice", pa.int32()), ("content", pa.int64()), ("skip", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+POWERS = np.multiply.accumulate(np.append(np.uint64(1), np.full(LENGTH, C1, np.uint64)))
 
 
 def words(data: np.ndarray, little: bool = True) -> np.ndarray:
@@ -84,7 +89,7 @@ def records(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     place = np.arange(len(data), dtype=np.uint64)
     least = sliding_least(((grams >> np.uint64(32)) << np.uint64(32)) | place, per)[: len(data) - LENGTH + 1]
     anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    text = np.searchsorted(at, np.arange(len(anchor)), "right") - 1
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(anchor)]
     whole = np.arange(len(anchor)) + LENGTH <= at[text + 1]
     fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (whole[1:] != whole[:-1]))
     first = np.flatnonzero(fresh)
@@ -117,7 +122,7 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = lists.flatten()
             key, content, first, n, lead, parts = (np.asarray(flat.field(i), np.int64) for i in range(6))
             view = memoryview(np.ascontiguousarray(data))
-            out: dict[str, list] = {c: [] for c in ("key", "slice", "content", "skip", "n", "bytes")}
+            out, held = {c: [] for c in FETCHED.names}, 0
             for w, k, c, f, m, l, p in zip(which.tolist(), key.tolist(), content.tolist(), first.tolist(), n.tolist(), lead.tolist(), parts.tolist(), strict=True):
                 begin, step, hashed = int(at[w]) + f, -(-DISTANCES // p), -(-p // DISTANCES)
                 i = 0
@@ -129,25 +134,30 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         s = s * hashed + xxhash.xxh3_64_intdigest(own) % hashed
                     for name, x in zip(out, (k, s, c, i, j - i, own), strict=True):
                         out[name].append(x)
-                    i = j
-            yield pa.record_batch({"key": pa.array(out["key"], pa.int64()), "slice": pa.array(out["slice"], pa.int32()), "content": pa.array(out["content"], pa.int64()), "skip": pa.array(out["skip"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "bytes": pa.array(out["bytes"], pa.binary())})
+                    i, held = j, held + len(own)
+                if held >= 1 << 22:  # narrow slices repeat most of their bytes
+                    yield pa.RecordBatch.from_pydict(out, FETCHED)
+                    out, held = {c: [] for c in FETCHED.names}, 0
+            yield pa.RecordBatch.from_pydict(out, FETCHED)
 
 
 class Text:
-    """Bytes that grow by batches, with the word at each place and prefix hashes, so that stretches compare without being read."""
+    """Bytes that grow by batches, with the word at each place and prefix hashes, so that stretches compare without being read.
+
+    Prefix hashes begin anew with each batch, as no window goes over its end.
+    """
 
     def __init__(self):
-        self.data, self.words, self.sums, self.inverse = np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.uint64)
-        self.power = np.uint64(1)
+        self.data, self.words, self.sums = np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def add(self, data: np.ndarray) -> int:
-        """Appends a batch; where it begins."""
+        """Appends a batch and a byte of 0; where it begins."""
         base, n = len(self.data), len(data)
-        powers = np.multiply.accumulate(np.concatenate([[self.power], np.full(n, C1, np.uint64)]))
-        self.sums = np.concatenate([self.sums, self.sums[-1] + np.cumsum(BYTE_VALUE[data] * powers[:n])])
-        self.inverse = np.concatenate([self.inverse, np.multiply.accumulate(np.concatenate([self.inverse[-1:], np.full(n, np.uint64(FINGER), np.uint64)]))[1:]])
-        self.power = powers[n]
-        self.data, self.words = np.concatenate([self.data, data]), np.concatenate([self.words, words(data, little=False)])
+        back = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, FINGER, np.uint64)))
+        ahead = np.multiply.accumulate(np.append(FINGER, np.full(n, C1, np.uint64)))
+        own = np.append(np.uint64(0), np.cumsum(BYTE_VALUE[data] * back[:n])) * ahead
+        data = np.append(data, np.uint8(0))
+        self.data, self.words, self.sums = (np.concatenate(x) for x in ((self.data, data), (self.words, words(data, little=False)), (self.sums, own)))
         return base
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -161,10 +171,10 @@ class Text:
             left = left[differ == 0]
         low, high = np.full(len(left), 24), np.full(len(left), LENGTH)
         xl, yl = x[left], y[left]
-        xs, xi, ys, yi = self.sums[xl], self.inverse[xl], self.sums[yl], self.inverse[yl]
+        apart = self.sums[xl] - self.sums[yl]
         for _ in range((LENGTH - 24).bit_length()):
             middle = (low + high + 1) // 2
-            equal = (self.sums[xl + middle] - xs) * xi == (self.sums[yl + middle] - ys) * yi
+            equal = self.sums[xl + middle] - self.sums[yl + middle] == apart * POWERS[middle]
             low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
         whole = np.flatnonzero(low == LENGTH)
         for i in range(0, len(whole), 1 << 14):
@@ -182,8 +192,8 @@ def in_order(text: Text, at: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray,
     """Windows at ``at``, in the order of their first bytes, to full suffix order; tied: whether a window goes on its predecessor's stretch
     of equal first bytes. Returns the order, and for each place whether the window there equals the one before it.
 
-    A stretch is split by its first window: what is smaller by the length of the common prefix, what is equal, what is larger. Windows
-    on the same side with prefixes of one length stay a stretch for the next turn.
+    A stretch is split by its middle window (two runs in order make its first a bad one): what is smaller by the length of the common
+    prefix, what is equal, what is larger. Windows on the same side with prefixes of one length stay a stretch for the next turn.
     """
     order, equal, place = np.arange(len(at)), np.zeros(len(at), bool), np.arange(len(at))
     while True:
@@ -192,8 +202,9 @@ def in_order(text: Text, at: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray,
         place, tied = place[open_], tied[open_]
         if not len(place):
             return order, equal
-        stretch, x = np.cumsum(~tied), at[order[place]]
-        lead = x[~tied][stretch - 1]
+        begin, x = np.flatnonzero(~tied), at[order[place]]
+        size = np.diff(np.append(begin, len(x)))
+        stretch, lead = np.repeat(np.arange(len(begin)), size), np.repeat(x[begin + size // 2], size)
         prefix = text.common(x, lead)
         step = np.minimum(prefix, LENGTH - 1)
         smaller = text.data[x + step] < text.data[lead + step]
@@ -208,7 +219,7 @@ def in_order(text: Text, at: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray,
 
 
 class Level:
-    """A suffix array: places of windows in the order of their bytes, no two equal, and the first eight bytes of each."""
+    """A suffix array: places of windows in the order of shards and bytes, no two equal, and their heads."""
 
     def __init__(self, head: np.ndarray, at: np.ndarray, number: np.ndarray):
         self.head, self.at, self.number = head, at, number
@@ -226,17 +237,18 @@ class Family:
     A window equal to one in the index is marked, as that one is, and isn't kept again.
     """
 
-    def __init__(self):
+    def __init__(self, shards: int = 1):
+        self.shard_bits = np.uint64((shards - 1).bit_length())
         self.levels: list[Level] = []
         self.text = Text()
         self.marked = np.zeros(0, bool)
 
-    def add(self, data: np.ndarray, starts: np.ndarray) -> None:
-        """A batch: windows begin at starts in data."""
+    def add(self, data: np.ndarray, starts: np.ndarray, shard: np.ndarray | int = 0) -> None:
+        """A batch: windows begin at starts in data; windows of different shards are never compared."""
         at = self.text.add(data) + starts
         number = len(self.marked) + np.arange(len(starts))
         self.marked = np.concatenate([self.marked, np.zeros(len(starts), bool)])
-        head = self.text.words[at]
+        head = (self.text.words[at] >> self.shard_bits) | (np.asarray(shard, np.uint64) << (np.uint64(64) - self.shard_bits))
         by = np.argsort(head, kind="stable")
         level = Level(head[by], at[by], number[by])
         order, equal = in_order(self.text, level.at, np.append(False, level.head[1:] == level.head[:-1])[: len(level)])
@@ -259,7 +271,11 @@ class Family:
         head = np.concatenate([a.head, b.head])
         by = np.argsort(head, kind="stable")  # two runs in order: a merge
         both = Level(head, np.concatenate([a.at, b.at]), np.concatenate([a.number, b.number])).take(by)
-        order, equal = in_order(self.text, both.at, np.append(False, both.head[1:] == both.head[:-1])[: len(both)])
+        tied = np.append(False, both.head[1:] == both.head[:-1])[: len(both)]
+        begin, ours = np.flatnonzero(~tied), by < len(a)
+        if len(begin):  # what only one of them has is in order
+            tied &= np.repeat(np.logical_or.reduceat(ours, begin) & np.logical_or.reduceat(~ours, begin), np.diff(np.append(begin, len(both))))
+        order, equal = in_order(self.text, both.at, tied)
         return both.take(order), equal
 
     def _scanned(self, level: Level, old: Level) -> Level:
@@ -279,15 +295,17 @@ def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
-        family, spans = Family(), []
-        n, skip = np.asarray(rows.column("n"), np.int64), np.asarray(rows.column("skip"), np.int64)
+        key, part, n, skip = (np.asarray(rows.column(c), np.int64) for c in ("key", "slice", "n", "skip"))
+        shard = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+        family = Family(int(shard[-1]) + 1)
+        windows, upto = (np.append(0, np.cumsum(x)) for x in (n, n + (LENGTH - 1)))
         first = 0
         while first < len(n):
-            last = max(first + 1, int(np.searchsorted(np.cumsum(n[first:]), BATCH_WINDOWS, "right")) + first)
-            part = rows.column("bytes").slice(first, last - first).combine_chunks().cast(pa.large_binary())
-            at = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
-            data = np.frombuffer(part.buffers()[2], np.uint8)[at[0] : at[-1]]
-            family.add(data, ragged(at[:-1] - at[0], n[first:last]))
+            last = max(first + 1, min(int(np.searchsorted(x, x[first] + most, "right")) - 1 for x, most in ((windows, BATCH_WINDOWS), (upto, BATCH_BYTES))))
+            some = rows.column("bytes").slice(first, last - first).combine_chunks().cast(pa.large_binary())
+            at = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+            data = np.frombuffer(some.buffers()[2], np.uint8)[at[0] : at[-1]]
+            family.add(data, ragged(at[:-1] - at[0], n[first:last]), np.repeat(shard[first:last], n[first:last]))
             first = last
         ends = np.cumsum(n)
         owner = np.repeat(np.arange(len(n)), n)
@@ -299,23 +317,23 @@ def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = owner[hit][begin]
         yield pa.record_batch({"key": rows.column("key").combine_chunks().take(pa.array(own)), "content": rows.column("content").combine_chunks().take(pa.array(own)), "skip": pa.array(place[begin], pa.int32()), "n": pa.array(size, pa.int32())})
 
-    # keys are in order: what is held is matched whenever a key is whole and enough windows are there
-    held, windows = [], 0
+    # shards are in order: what is held is matched whenever a shard is whole and enough bytes are there
+    held, most, size, previous = [], FAMILY_BATCHES * BATCH_BYTES, 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, part = (np.asarray(batch.column(c), np.int64) for c in ("key", "slice"))
-        change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-        if held and (held[-1].column("key")[-1].as_py(), held[-1].column("slice")[-1].as_py()) != (int(key[0]), int(part[0])) and windows >= 8 * BATCH_WINDOWS:
-            yield from flush(held)
-            held, windows = [], 0
-        windows += int(np.asarray(batch.column("n"), np.int64).sum())
-        if windows >= 8 * BATCH_WINDOWS and len(change):
-            last = int(change[-1]) + 1
-            yield from flush([*held, batch.slice(0, last)])
-            batch = batch.slice(last)
-            held, windows = [], int(np.asarray(batch.column("n"), np.int64).sum())
-        held.append(batch)
+        key, part, n = (np.asarray(batch.column(c), np.int64) for c in ("key", "slice", "n"))
+        upto = np.append(0, np.cumsum(n + (LENGTH - 1)))
+        change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+        if previous is not None and previous != (key[0], part[0]):
+            change = np.append(0, change)
+        previous, first = (key[-1], part[-1]), 0
+        for last in change.tolist():
+            if size + upto[last] - upto[first] >= most:
+                yield from flush([*held, batch.slice(first, last - first)])
+                held, size, first = [], 0, last
+        held.append(batch.slice(first))
+        size += upto[-1] - upto[first]
     if held:
         yield from flush(held)
 
