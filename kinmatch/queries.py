@@ -13,6 +13,7 @@ from kinmatch.operators import blocking, decide, evaluate, features, model, qual
 from kinmatch.plans import linkage
 from kinmatch.plans.views import RECORDS_SQL, TRUTH_SQL, doc_records, doc_truth, table
 from kinmatch.sources import scans
+from kinmatch.sources.shared import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,25 +207,28 @@ def density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.density(doc_records(spark, sf_dir)))
 
 
+def _study(truth: DataFrame, s1_keys: DataFrame, target_keys: DataFrame) -> DataFrame:
+    capped = evaluate.blocking_study(truth, s1_keys, target_keys, CONFIG.common_limit, CONFIG.rare_limit).withColumn("caps", F.lit(True))
+    return capped.unionByName(evaluate.blocking_study(truth, s1_keys, target_keys, None, None).withColumn("caps", F.lit(False)))
+
+
+def _study_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(truth, S1's keys, targets' keys), which the study reads many times."""
+    keys = kept(blocking.blocking_keys(text.normalize(doc_records(spark, sf_dir))), "keys")
+    own = F.col("entity_id").startswith("S1-")
+    return kept(doc_truth(spark, sf_dir), "truth"), keys.where(own), keys.where(~own)
+
+
 def blocking_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = text.normalize(doc_records(spark, sf_dir))
-    s1, targets, truth = known.where("source = 'S1'"), known.where("source <> 'S1'"), doc_truth(spark, sf_dir)
-    capped = evaluate.blocking_study(truth, blocking.candidates(s1, targets, None, CONFIG.common_limit, CONFIG.rare_limit)).withColumn("caps", F.lit(True))
-    return capped.unionByName(evaluate.blocking_study(truth, blocking.candidates(s1, targets, None, None, None)).withColumn("caps", F.lit(False)))
+    return _study(*_study_tables(spark, sf_dir))
 
 
 def blocking_study_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As blocking_study, each source's targets with an index and caps of their own."""
-    known = text.normalize(doc_records(spark, sf_dir))
-    s1, targets, truth = known.where("source = 'S1'"), known.where("source <> 'S1'"), doc_truth(spark, sf_dir)
-    out = None
-    for caps, limits in ((True, (CONFIG.common_limit, CONFIG.rare_limit)), (False, (None, None))):
-        pairs = blocking.candidates_by_source(s1, targets, None, *limits)
-        for source in ("S2", "S3"):
-            own = evaluate.blocking_study(truth.where(F.col("target_id").startswith(source)), pairs.where(F.col("source") == source))
-            row = own.withColumns({"source": F.lit(source), "caps": F.lit(caps)})
-            out = row if out is None else out.unionByName(row)
-    return out
+    truth, s1_keys, target_keys = _study_tables(spark, sf_dir)
+    of = lambda rows, column, source: rows.where(F.col(column).startswith(f"{source}-"))
+    found = [_study(of(truth, "target_id", s), s1_keys, of(target_keys, "entity_id", s)).withColumn("source", F.lit(s)) for s in ("S2", "S3")]
+    return found[0].unionByName(found[1]).select("links", "hit_all", "hit_20", "hit_50", "source", "caps")
 
 
 def candidates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
