@@ -193,9 +193,10 @@ def reduced_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = doc_records(spark, sf_dir)
-    fitted = linkage.train(known, doc_truth(spark, sf_dir), _spine(spark, sf_dir).select("s1_id"), config=CONFIG)
-    scored = linkage.score_candidates(*_retrieved(spark, sf_dir), linkage.trained(fitted))
+    # training and scoring read records and truth many times
+    known, truth = kept(text.normalize(doc_records(spark, sf_dir)), "records"), kept(doc_truth(spark, sf_dir), "truth")
+    fitted = linkage.train(known, truth, known.where("source = 'S1'").select(F.col("entity_id").alias("s1_id")), config=CONFIG)
+    scored = linkage.score_candidates(*linkage.retrieve(known, CONFIG), linkage.trained(fitted))
     return scored.select("s1_id", "target_id", F.round("p", 4).alias("p"))
 
 
