@@ -11,9 +11,9 @@ from kinmatch.functions import text
 from kinmatch.functions.tables import COMMON_ADDRESS_WORDS, LEGAL_SUFFIXES, expansions
 from kinmatch.operators import blocking, decide, evaluate, features, model, quality
 from kinmatch.plans import linkage
-from kinmatch.plans.views import RECORDS_SQL, TRUTH_SQL, doc_records, doc_truth, table
+from kinmatch.plans.views import RECORDS_SQL, TRUTH_SQL, doc_records, doc_truth, doc_words, table
 from kinmatch.sources import scans
-from kinmatch.sources.shared import kept
+from kinmatch.sources.shared import kept, release
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -193,10 +193,14 @@ def reduced_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # training and scoring read records and truth many times
-    known, truth = kept(text.normalize(doc_records(spark, sf_dir)), "records"), kept(doc_truth(spark, sf_dir), "truth")
+    # texts are parsed once; training and scoring read records and truth many times
+    words = kept(doc_words(spark, sf_dir), "words")
+    known, truth = kept(text.normalize(doc_records(spark, sf_dir, words)), "records"), kept(doc_truth(spark, sf_dir, words), "truth")
     fitted = linkage.train(known, truth, known.where("source = 'S1'").select(F.col("entity_id").alias("s1_id")), config=CONFIG)
-    scored = linkage.score_candidates(*linkage.retrieve(known, CONFIG), linkage.trained(fitted))
+    s1, targets, pairs = linkage.retrieve(known, CONFIG)
+    pairs = kept(pairs, "candidates")
+    release(spark)
+    scored = linkage.score_candidates(s1, targets, pairs, linkage.trained(fitted))
     return scored.select("s1_id", "target_id", F.round("p", 4).alias("p"))
 
 
